@@ -21,7 +21,7 @@ SQL["chi2_scores"] = "WITH " + ",\n".join([TFIDF, CLASSES, CHI2]) + "\nSELECT te
 # Training sets by fold: every document belongs to the training set of each other fold.
 FOLDS = "fold_ids AS (SELECT DISTINCT fold FROM folds)"
 BY_FOLD = """trainset AS (SELECT f.fold, d.doc_id, d.label FROM folds d JOIN fold_ids f ON d.fold <> f.fold),
-classes AS (SELECT fold, label, count(*) AS n_label, sum(count(*)) OVER (PARTITION BY fold) AS n_docs FROM trainset GROUP BY ALL),
+classes AS (SELECT fold, label, count(*) AS n_label, sum(count(*)) OVER (PARTITION BY fold) AS n_docs FROM trainset GROUP BY fold, label),
 observed AS (SELECT t.fold, term, w.label, sum(w) AS o, count(*) AS n FROM weights w JOIN trainset t USING (doc_id) GROUP BY ALL)"""
 FOLD_CHI2 = """totals AS (SELECT fold, term, sum(o) AS t FROM observed GROUP BY ALL),
 grid AS (SELECT t.fold, t.term, c.label, coalesce(o.o, 0) AS o, t.t * c.n_label / c.n_docs AS e
@@ -75,7 +75,7 @@ preds AS (SELECT fold, doc_id, y, label AS p FROM scored
 
 HOLD_PARTS = """train_docs AS (SELECT 0 AS fold, doc_id, label FROM docs WHERE split = 'train'),
 tests AS (SELECT 0 AS fold, doc_id, label FROM docs WHERE split = 'test'),
-classes AS (SELECT fold, label, count(*) AS n_label, sum(count(*)) OVER () AS n_docs FROM train_docs GROUP BY ALL),
+classes AS (SELECT fold, label, count(*) AS n_label, sum(count(*)) OVER () AS n_docs FROM train_docs GROUP BY fold, label),
 observed AS (SELECT t.fold, term, w.label, sum(w) AS o, sum(w * w) AS q FROM weights w JOIN train_docs t USING (doc_id) GROUP BY ALL),
 entries AS (SELECT t.fold, t.doc_id, term, w FROM weights JOIN tests t USING (doc_id))"""
 HOLD = [*HOLDOUT, HOLD_PARTS]

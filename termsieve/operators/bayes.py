@@ -2,14 +2,15 @@
 
 A model exists per training set `fold`; -1 stands for a single one. With `n_folds`, train
 and test are the same relations and each document is scored by the model trained without
-its fold. Scoring starts from the documents, so one without any known term is predicted too.
+its fold. Scoring starts from the documents, so one without any known term is predicted
+too. Class parts of a document are summed where its entries lie, then compared in place.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import bounded, broadcast_checked
+from ..runtime import bounded, broadcast_checked, materialize
 from .filters import class_table, explode_folds, outside, term_class_sums
 from .vectorize import Vocabulary, join_on_term
 
@@ -18,21 +19,29 @@ from .vectorize import Vocabulary, join_on_term
 SCORE_DIGITS = 6
 
 
-def best_label(score: Column, label: str = "label", digits: int = SCORE_DIGITS) -> Column:
-    """Aggregate: label of the highest score, the smaller label on ties."""
-    return F.min(F.struct((-F.round(score, digits)).alias("s"), F.col(label).alias("l")))["l"]
-
-
 def _fold(n_folds: int | None) -> Column:
     return (F.col("fold") if n_folds is not None else F.lit(-1)).alias("fold")
 
 
-def _test_rows(test_docs: DataFrame, n_folds: int | None, known: DataFrame, model: DataFrame,
-               parts: DataFrame) -> DataFrame:
-    """Every test document under every class of its model, with its summed parts if any."""
+def predict(test_docs: DataFrame, n_folds: int | None, cells: DataFrame, model: DataFrame, score) -> DataFrame:
+    """(fold, doc_id, y, p): label of the highest score, the smaller one on ties.
+
+    `cells` holds (doc_id, label, a): summed parts per class, and under a null label the
+    summed weight of the document. `model` holds class rows per fold, and
+    `score(class, part, weight)` is a Column.
+    """
+    per_doc = cells.groupBy("doc_id").agg(
+        F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("a"))), F.lit(0.0)).alias("_w"),
+        F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "a")))).alias("_a"))
+    fields = [c for c in model.columns if c not in ("fold", "label")]
+    classes = model.groupBy("fold").agg(F.collect_list(F.struct("label", *fields)).alias("_m"))
     docs = test_docs.select("doc_id", F.col("label").alias("y"), _fold(n_folds))
-    return docs.join(known, ["fold", "doc_id"], "left").join(bounded(model), "fold") \
-        .join(parts, ["fold", "doc_id", "label"], "left")
+    rows = docs.join(per_doc, "doc_id", "left").join(bounded(classes), "fold")
+    weight = F.coalesce("_w", F.lit(0.0))
+    best = F.array_min(F.transform("_m", lambda m: F.struct(
+        (-F.round(score(m, F.coalesce(F.try_element_at("_a", m["label"]), F.lit(0.0)), weight), SCORE_DIGITS)).alias("s"),
+        m["label"].alias("l"))))
+    return rows.select("fold", "doc_id", "y", best["l"].alias("p"))
 
 
 def classify_multinomial_nb(train: DataFrame, train_docs: DataFrame, test: DataFrame, test_docs: DataFrame,
@@ -44,33 +53,35 @@ def classify_multinomial_nb(train: DataFrame, train_docs: DataFrame, test: DataF
     Terms a class never saw give ln(1) = 0, so only observed cells are joined.
     `selected` restricts each fold to its own (fold, term) rows, `n_selected` per fold.
     """
-    classes = class_table(train_docs, n_folds)
     stats = term_class_sums(train, n_folds)
     entries = test.select("doc_id", _fold(n_folds), "term", "w")
     if selected is not None:
         kept = broadcast_checked(selected.select("fold", "term"))
         stats = stats.join(kept, ["fold", "term"], "left_semi")
         entries = entries.join(kept, ["fold", "term"], "left_semi")
+    # Read twice below, and far smaller than the entries.
+    stats = materialize(stats)
     totals = stats.groupBy("fold", "label").agg(F.sum("s").alias("_all"))
-    model = classes.join(bounded(totals), ["fold", "label"], "left").select(
-        "fold", "label", F.log(F.col("n_label") / F.col("n_docs")).alias("_prior"),
-        F.log(F.coalesce("_all", F.lit(0.0)) + (n_selected or vocab.n_terms)).alias("_norm"))
-    logs = stats.select("fold", "term", "label", F.log(F.col("s") + 1.0).alias("_l"))
-    per_term = (n_folds or 1) * model.select("label").distinct().count()
-    parts = join_on_term(entries, logs, vocab, ["fold", "term"], per_term) \
-        .groupBy("fold", "doc_id", "label").agg(F.sum(F.col("w") * F.col("_l")).alias("_a"))
-    known = entries.groupBy("fold", "doc_id").agg(F.sum("w").alias("_w"))
-    score = F.col("_prior") + F.coalesce("_a", F.lit(0.0)) - F.coalesce("_w", F.lit(0.0)) * F.col("_norm")
-    return _test_rows(test_docs, n_folds, known, model, parts) \
-        .groupBy("fold", "doc_id", "y").agg(best_label(score).alias("p"))
+    model = class_table(train_docs, n_folds).join(totals, ["fold", "label"], "left").select(
+        "fold", "label", F.log(F.col("n_label") / F.col("n_docs")).alias("prior"),
+        F.log(F.coalesce("_all", F.lit(0.0)) + (n_selected or vocab.n_terms)).alias("norm"))
+    logs = stats.groupBy("fold", "term").agg(
+        F.collect_list(F.struct("label", F.log(F.col("s") + 1.0).alias("l"))).alias("_l"))
+    weight = F.array(F.struct(F.lit(None).cast(stats.schema["label"].dataType).alias("label"), F.lit(1.0).alias("l")))
+    parts = F.explode(F.concat(F.coalesce("_l", F.array().cast("array<struct<label:%s,l:double>>" % (
+        stats.schema["label"].dataType.simpleString()))), weight))
+    cells = join_on_term(entries, logs, vocab, ["fold", "term"], n_folds or 1, how="left") \
+        .select("doc_id", "w", parts.alias("_p")) \
+        .groupBy("doc_id", F.col("_p.label").alias("label")).agg(F.sum(F.col("w") * F.col("_p.l")).alias("a"))
+    return predict(test_docs, n_folds, cells, model, lambda m, a, w: m["prior"] + a - w * m["norm"])
 
 
 def gaussian_model(train: DataFrame, train_docs: DataFrame, vocab: Vocabulary, n_folds: int | None = None,
                    smoothing: float = 1e-9) -> tuple[DataFrame, DataFrame]:
-    """Model rows (fold, label, _prior, _base, _eps) and term rows (fold, term, _m: label -> mu, var).
+    """Model rows (fold, label, prior, base, eps) and term rows (fold, term, _m: label -> mu, var).
 
-    Weights absent from the relation are zeros and count in means and variances. `_base` is
-    the log density of a document without terms; `_eps` is the smoothing times the largest
+    Weights absent from the relation are zeros and count in means and variances. `base` is
+    the log density of a document without terms; `eps` is the smoothing times the largest
     variance of a term over all training documents.
     """
     classes = bounded(class_table(train_docs, n_folds))
@@ -81,41 +92,36 @@ def gaussian_model(train: DataFrame, train_docs: DataFrame, vocab: Vocabulary, n
     else:
         sums = explode_folds(grouped.agg(*outside("s", F.col("w"), n_folds), *outside("q", square, n_folds)),
                              ["s", "q"], n_folds)
-    sums = sums.join(classes, ["fold", "label"])
+    sums = materialize(sums.join(classes, ["fold", "label"]))
     mean = F.sum("s") / F.first("n_docs")
     overall = sums.groupBy("fold", "term").agg((F.sum("q") / F.first("n_docs") - mean * mean).alias("_v"))
-    eps = bounded(overall.groupBy("fold").agg((F.max("_v") * smoothing).alias("_eps")))
+    eps = bounded(overall.groupBy("fold").agg((F.max("_v") * smoothing).alias("eps")))
     mu = F.col("s") / F.col("n_label")
     cells = sums.join(eps, "fold").select(
         "fold", "term", "label", mu.alias("mu"),
-        (F.greatest(F.col("q") / F.col("n_label") - mu * mu, F.lit(0.0)) + F.col("_eps")).alias("var"))
+        (F.greatest(F.col("q") / F.col("n_label") - mu * mu, F.lit(0.0)) + F.col("eps")).alias("var"))
     at_zero = -0.5 * F.log(2.0 * F.pi() * F.col("var")) - F.col("mu") * F.col("mu") / (2.0 * F.col("var"))
-    observed = bounded(cells.groupBy("fold", "label").agg(F.sum(at_zero).alias("_seen"), F.count("*").alias("_n")))
+    observed = cells.groupBy("fold", "label").agg(F.sum(at_zero).alias("_seen"), F.count("*").alias("_n"))
     model = classes.join(eps, "fold").join(observed, ["fold", "label"], "left").select(
-        "fold", "label", "_eps", F.log(F.col("n_label") / F.col("n_docs")).alias("_prior"),
+        "fold", "label", "eps", F.log(F.col("n_label") / F.col("n_docs")).alias("prior"),
         (F.coalesce("_seen", F.lit(0.0)) - (vocab.n_terms - F.coalesce("_n", F.lit(0)))
-         * 0.5 * F.log(2.0 * F.pi() * F.col("_eps"))).alias("_base"))
+         * 0.5 * F.log(2.0 * F.pi() * F.col("eps"))).alias("base"))
     # One entry per class in which the term occurs.
     terms = cells.groupBy("fold", "term").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", F.struct("mu", "var")))).alias("_m"))
-    return model, terms
+        F.map_from_entries(F.collect_list(F.struct("label", F.struct("mu", "var")))).alias("_t"))
+    return bounded(model), terms
 
 
 def classify_gaussian_nb(train: DataFrame, train_docs: DataFrame, test: DataFrame, test_docs: DataFrame,
                          vocab: Vocabulary, n_folds: int | None = None, smoothing: float = 1e-9) -> DataFrame:
     """(fold, doc_id, y, p) of a Gaussian model with per-class variances."""
     model, terms = gaussian_model(train, train_docs, vocab, n_folds, smoothing)
-    model = bounded(model)
     entries = test.select("doc_id", _fold(n_folds), "term", "w")
     # A class that never saw the term has mean 0 and variance eps there.
-    cell = F.try_element_at("_m", F.col("label"))
-    w = F.col("w")
-    shift = F.when(cell.isNull(), -w * w / (2.0 * F.col("_eps"))) \
+    cell, w = F.try_element_at("_t", F.col("label")), F.col("w")
+    shift = F.when(cell.isNull(), -w * w / (2.0 * F.col("eps"))) \
         .otherwise((2.0 * w * cell["mu"] - w * w) / (2.0 * cell["var"]))
-    parts = join_on_term(entries, terms, vocab, ["fold", "term"], n_folds or 1) \
-        .join(model.select("fold", "label", "_eps"), "fold") \
-        .groupBy("fold", "doc_id", "label").agg(F.sum(shift).alias("_a"))
-    known = entries.select("fold", "doc_id").distinct()
-    score = F.col("_prior") + F.col("_base") + F.coalesce("_a", F.lit(0.0))
-    return _test_rows(test_docs, n_folds, known, model, parts) \
-        .groupBy("fold", "doc_id", "y").agg(best_label(score).alias("p"))
+    cells = join_on_term(entries, terms, vocab, ["fold", "term"], n_folds or 1, how="left") \
+        .join(model.select("fold", "label", "eps"), "fold") \
+        .groupBy("doc_id", "label").agg(F.sum(shift).alias("a"))
+    return predict(test_docs, n_folds, cells, model, lambda m, a, _: m["prior"] + m["base"] + a)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import bounded, broadcast_checked, ranked
+from ..runtime import bounded, broadcast_checked, materialize, ranked
 
 
 def class_table(docs: DataFrame, n_folds: int | None = None) -> DataFrame:
@@ -101,9 +101,9 @@ def mutual_info_binned(weights: DataFrame, docs: DataFrame, bins: int = 4) -> Da
     weight order, the first ones taking the remainder.
     """
     classes = bounded(class_table(docs)).drop("fold")
-    entries = weights.select("term", "doc_id", "label", F.round("w", 9).alias("_w"))
+    entries = materialize(weights.select("term", "doc_id", "label", F.round("w", 9).alias("_w")))
     place = ranked(entries, ["term"], [F.col("_w"), F.col("doc_id")], name="_rn")
-    totals = weights.groupBy("term").agg(F.count("*").alias("_df"))
+    totals = entries.groupBy("term").agg(F.count("*").alias("_df"))
     q, r, at = F.floor(F.col("_df") / bins), F.col("_df") % bins, F.col("_rn") - 1
     bin_no = F.when(at < r * (q + 1), F.floor(at / (q + 1))).otherwise(
         r + F.floor((at - r * (q + 1)) / F.greatest(q, F.lit(1))))
@@ -141,7 +141,7 @@ def select_k_best(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
 def rank_terms(scores: DataFrame, digits: int = 6) -> DataFrame:
     """Every term with its `rank`, best first, per fold if there is a `fold` column."""
     by = ["fold"] if "fold" in scores.columns else []
-    return ranked(scores, by, _best_first(digits), name="rank")
+    return ranked(materialize(scores), by, _best_first(digits), name="rank")
 
 
 def apply_selection(weights: DataFrame, selected: DataFrame) -> DataFrame:

@@ -62,7 +62,10 @@ def conflate_tokens(terms: DataFrame, stems: DataFrame | None = None,
     enough to broadcast, and otherwise on every row, which shuffles nothing.
     """
     if stems is None:
-        words = materialize(terms.select("term").distinct().withColumn("stem", porter_stem(F.col("term"))))
+        # Few distinct terms would be merged into one task; stemming is the costly part.
+        parts = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        words = materialize(terms.select("term").distinct().repartition(parts)
+                            .withColumn("stem", porter_stem(F.col("term"))))
         if words.count() > limit:
             return terms.withColumn("term", porter_stem(F.col("term")))
         stems = F.broadcast(words)
@@ -90,50 +93,55 @@ def document_frequency(counts: DataFrame, min_df: int = 1) -> DataFrame:
 
 def min_df_vocabulary(counts: DataFrame, min_df: int) -> DataFrame:
     """(term, df, idx): terms in at least `min_df` documents, indexed in sorted order."""
-    vocab = ranked(document_frequency(counts, min_df), [], [F.col("term")], name="_rank")
-    return vocab.select("term", "df", (F.col("_rank") - 1).alias("idx"))
+    return fit_vocabulary(counts, 0, min_df).indexed()
 
 
 @dataclass
 class Vocabulary:
     """A stored vocabulary with the sizes that later joins decide on."""
-    terms: DataFrame      # (term, df, idx)
+    terms: DataFrame      # (term, df)
     n_docs: int
     n_terms: int
     n_entries: int        # document-term pairs covered
 
+    def indexed(self) -> DataFrame:
+        """(term, df, idx) with idx = 0.. in sorted term order."""
+        placed = ranked(self.terms, [], [F.col("term")], name="_rank", n_rows=self.n_terms)
+        return placed.select("term", "df", (F.col("_rank") - 1).alias("idx"))
+
     def restrict(self, selected: DataFrame) -> "Vocabulary":
-        """The vocabulary of selected terms, indexed anew in sorted order."""
-        kept = self.terms.join(selected.select("term").distinct(), "term", "left_semi")
-        terms = materialize(ranked(kept.drop("idx"), [], [F.col("term")], name="_rank").select(
-            "term", "df", (F.col("_rank") - 1).alias("idx")))
-        n_terms, n_entries = terms.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
-        return Vocabulary(terms, self.n_docs, n_terms, n_entries)
+        """The vocabulary of selected terms."""
+        return _sized(self.terms.join(selected.select("term").distinct(), "term", "left_semi"), self.n_docs)
 
     def hot(self) -> DataFrame:
         """Terms that hold a large share of all entries: at most HOT_SHARE rows."""
         return self.terms.where(F.col("df") * HOT_SHARE > self.n_entries).select("term")
 
 
+def _sized(terms: DataFrame, n_docs: int) -> Vocabulary:
+    stored = materialize(terms)
+    n_terms, n_entries = stored.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    return Vocabulary(stored, n_docs, n_terms, n_entries)
+
+
 def fit_vocabulary(counts: DataFrame, n_docs: int, min_df: int) -> Vocabulary:
-    terms = materialize(min_df_vocabulary(counts, min_df))
-    n_terms, n_entries = terms.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
-    return Vocabulary(terms, n_docs, n_terms, n_entries)
+    return _sized(document_frequency(counts, min_df), n_docs)
 
 
 def join_on_term(entries: DataFrame, side: DataFrame, vocab: Vocabulary, on: list[str] | str = "term",
-                 rows_per_term: int = 1, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join of document entries with a relation that has few rows per term.
+                 rows_per_term: int = 1, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join document entries with a relation that has few rows per term.
 
     A side of at most `limit` rows is broadcast. Otherwise the frequent terms, whose
     number is bounded, are joined by broadcast and the others by shuffle, so a term
     found in every document never forms one large join partition.
     """
     if vocab.n_terms * rows_per_term <= limit:
-        return entries.join(F.broadcast(side), on)
+        return entries.join(F.broadcast(side), on, how)
     hot = F.broadcast(vocab.hot())
-    frequent = entries.join(broadcast_if(side.join(hot, "term", "left_semi"), HOT_SHARE * rows_per_term, limit), on)
-    rare = entries.join(hot, "term", "left_anti").join(side.join(hot, "term", "left_anti"), on)
+    frequent = entries.join(hot, "term", "left_semi").join(
+        broadcast_if(side.join(hot, "term", "left_semi"), HOT_SHARE * rows_per_term, limit), on, how)
+    rare = entries.join(hot, "term", "left_anti").join(side.join(hot, "term", "left_anti"), on, how)
     return frequent.unionByName(rare)
 
 
@@ -143,12 +151,11 @@ def transform_with_vocabulary(counts: DataFrame, vocab: Vocabulary, weighting: s
     tfidf: tf * (ln((1 + n) / (1 + df)) + 1), each document scaled to length one.
     """
     if weighting == "tf":
-        return join_on_term(counts, vocab.terms.select("term", "idx"), vocab) \
-            .withColumn("w", F.col("tf").cast("double"))
+        return join_on_term(counts, vocab.terms.select("term"), vocab).withColumn("w", F.col("tf").cast("double"))
     if weighting == "binary":
-        return join_on_term(counts, vocab.terms.select("term", "idx"), vocab).withColumn("w", F.lit(1.0))
+        return join_on_term(counts, vocab.terms.select("term"), vocab).withColumn("w", F.lit(1.0))
     idf = F.log((1.0 + F.lit(vocab.n_docs)) / (1.0 + F.col("df"))) + 1.0
-    side = vocab.terms.select("term", "idx", idf.alias("_idf"))
+    side = vocab.terms.select("term", idf.alias("_idf"))
     raw = join_on_term(counts, side, vocab).withColumn("_raw", F.col("tf") * F.col("_idf"))
     row = [c for c in ("doc_id", "label", "split", "fold") if c in counts.columns]
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*row)))
@@ -160,20 +167,19 @@ def tfidf_l2(counts: DataFrame, n_docs: int, min_df: int) -> DataFrame:
     return transform_with_vocabulary(counts, fit_vocabulary(counts, n_docs, min_df))
 
 
-def to_vectors(weights: DataFrame, docs: DataFrame, n_terms: int, index: str = "idx") -> DataFrame:
+def to_vectors(weights: DataFrame, docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """One sparse vector `features` per document, a zero vector where no term is known.
 
     The vector column is assembled by built-in functions in its storage layout and read
     back under the vector type.
     """
-    pairs = weights.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), "w"))).alias("_p"))
-    none = F.array().cast("array<struct<i:int,w:double>>")
-    rows = docs.join(pairs, "doc_id", "left").withColumn("_p", F.coalesce("_p", none))
+    indexed = join_on_term(weights.select("doc_id", "term", "w"), vocab.indexed().select("term", "idx"), vocab)
+    pairs = indexed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("_p"))
+    rows = docs.join(pairs, "doc_id", "left")
     vector = F.struct(
-        F.lit(0).cast("byte").alias("type"), F.lit(n_terms).alias("size"),
-        F.transform("_p", lambda p: p["i"]).cast("array<int>").alias("indices"),
-        F.col("_p.w").cast("array<double>").alias("values"))
+        F.lit(0).cast("byte").alias("type"), F.lit(vocab.n_terms).alias("size"),
+        F.coalesce(F.col("_p.idx"), F.array().cast("array<int>")).alias("indices"),
+        F.coalesce(F.col("_p.w"), F.array().cast("array<double>")).alias("values"))
     stored = rows.withColumn("features", vector).drop("_p")
     schema = T.StructType([T.StructField(f.name, VectorUDT() if f.name == "features" else f.dataType)
                            for f in stored.schema])

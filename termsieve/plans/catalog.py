@@ -306,7 +306,7 @@ def transform_with_vocabulary(spark, sf):
 def to_vectors(spark, sf):
     from pyspark.ml.functions import vector_to_array
     c = corpus(spark, sf)
-    vectors = vectorize.to_vectors(c.weights, c.docs, c.vocab.n_terms)
+    vectors = vectorize.to_vectors(c.weights, c.docs, c.vocab)
     dense = vector_to_array("features")
     return vectors.select("doc_id", F.size(dense).alias("size"), F.size(F.filter(dense, lambda x: x != 0)).alias("nnz"))
 

@@ -21,7 +21,7 @@ ANALYZERS = {
 @dataclass
 class Corpus:
     docs: DataFrame       # (doc_id, label[, split][, fold]), one row per document
-    weights: DataFrame    # docs columns + (term, idx, tf, w)
+    weights: DataFrame    # docs columns + (term, tf, w)
     vocab: Vocabulary
 
     def part(self, split: str) -> tuple[DataFrame, DataFrame]:
@@ -32,15 +32,15 @@ class Corpus:
 def build_corpus(docs: DataFrame, analyzer: str = "word", weighting: str = "tfidf", min_df: int = 3,
                  fit_on: str = "all") -> Corpus:
     """Count terms once, fit the vocabulary on all or on `train` documents, weight every document."""
-    keys = docs.drop("text")
+    keys = materialize(docs.drop("text"), key="doc_id")
     counts = term_counts(ANALYZERS[analyzer](docs))
     if weighting == "binary":
         counts = binary_terms(counts)
-    # Buckets by document: the row norms and later scores of a document need no shuffle.
-    counts = materialize(counts, key="doc_id")
+    # Counting again from the text moves less data than storing every count would.
     fit_docs, fit_counts = keys, counts
     if fit_on == "train":
         fit_docs, fit_counts = keys.where(F.col("split") == "train"), counts.where(F.col("split") == "train")
     vocab = fit_vocabulary(fit_counts, fit_docs.count(), min_df)
+    # Buckets by document: later joins and scores per document need no shuffle.
     weights = materialize(transform_with_vocabulary(counts, vocab, weighting), key="doc_id")
     return Corpus(keys, weights, vocab)

@@ -11,7 +11,7 @@ from ..operators.filters import (apply_selection, chi2_scores, class_table, mutu
 from ..operators.metrics import accuracy, all_scores, fold_average
 from ..operators.split import stratified_folds
 from ..operators.vectorize import join_on_term
-from ..runtime import bounded, materialize
+from ..runtime import bounded, broadcast_checked, materialize
 from .corpus import Corpus, build_corpus
 
 BAYES = {"MNB": classify_multinomial_nb, "NB": classify_gaussian_nb}
@@ -19,7 +19,8 @@ BAYES = {"MNB": classify_multinomial_nb, "NB": classify_gaussian_nb}
 
 def with_folds(docs: DataFrame, k: int = 5, seed: int | None = None) -> DataFrame:
     """Documents with their stratified `fold`."""
-    return docs.join(stratified_folds(docs, k, seed).select("doc_id", "fold"), "doc_id")
+    folds = materialize(stratified_folds(docs, k, seed).select("doc_id", "fold"))
+    return docs.join(folds, "doc_id")
 
 
 def bayes_over_folds(corpus: Corpus, classifier: str, n_folds: int) -> DataFrame:
@@ -83,7 +84,7 @@ def k_sweep_predictions(corpus: Corpus, n_folds: int, step: int = 10, score: str
         (F.lead("slot", 1).over(path) - 1).alias("_to"))
     spans = sums.groupBy("fold", "doc_id", "slot", F.coalesce("_to", F.lit(last)).alias("_to")).agg(
         F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("at", "a"))).alias("_a"))
-    scored = spans.withColumn("slot", F.explode(F.sequence("slot", "_to"))).join(bounded(norms), ["fold", "slot"])
+    scored = spans.withColumn("slot", F.explode(F.sequence("slot", "_to"))).join(broadcast_checked(norms), ["fold", "slot"])
     best = F.array_min(F.zip_with("_m", "_a", lambda m, a: F.struct(
         (-F.round(m["prior"] + a["a"] - F.col("w") * m["norm"], 6)).alias("s"), m["label"].alias("l"))))["l"]
     return scored.select("fold", "doc_id", (F.col("slot") * step).alias("k"), best.alias("p")) \

@@ -90,31 +90,32 @@ def normal(*parts) -> Column:
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank",
-           window_rows: int | None = None) -> DataFrame:
+           n_rows: int | None = None, window_rows: int | None = None) -> DataFrame:
     """1-based position of each row inside its `by` group under `order`.
 
-    `order` must be total. Small inputs use a window. Beyond `window_rows` rows the
-    input is range-partitioned on (by, order), numbered inside each sorted partition
-    and shifted by the rows of the same group in earlier partitions, so that neither
-    one huge group nor an ungrouped ranking ever lands in a single task.
+    `order` must be total; `df` should be cheap to read, as it is counted first unless
+    `n_rows` is given. Small inputs use a window. Beyond `window_rows` rows the input is
+    range-partitioned on (by, order), numbered inside each sorted partition and shifted by
+    the rows of the same group in earlier partitions, so that neither one huge group nor
+    an ungrouped ranking ever lands in a single task.
     """
     limit = WINDOW_ROWS if window_rows is None else window_rows
-    stored = materialize(df)
-    if stored.count() <= limit:
+    if (df.count() if n_rows is None else n_rows) <= limit:
         w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-        return stored.withColumn(name, F.row_number().over(w))
+        return df.withColumn(name, F.row_number().over(w))
     keys = [F.col(c) for c in by] + list(order)
-    parts = stored.sparkSession.sparkContext.defaultParallelism * 4
+    parts = max(df.sparkSession.sparkContext.defaultParallelism * 4,
+                int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Inside a sorted partition the generated id grows by one per row.
     placed = materialize(
-        stored.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+        df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_at", 33)))
     blocks = placed.groupBy("_part", *by).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
         "_part", *by, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # At most one block per (partition, group boundary): groups + partitions rows.
-    joined = placed.join(bounded(offsets), ["_part", *by])
+    # One block per partition and group found in it.
+    joined = placed.join(broadcast_checked(offsets), ["_part", *by])
     return joined.withColumn(name, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int")) \
         .drop("_at", "_part", "_first", "_before")
