@@ -1,5 +1,5 @@
 """Check SQL per registered query."""
 
-from . import scores, text
+from . import scores, search, text
 
-ORACLES: dict[str, str] = {**text.SQL, **scores.SQL}
+ORACLES: dict[str, str] = {**text.SQL, **scores.SQL, **search.SQL}

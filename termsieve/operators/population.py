@@ -136,12 +136,11 @@ def _each(width: int, value) -> Column:
     return F.array(*[value(F.col("keep")[c], c) for c in range(width)])
 
 
-def predict_population(ev: Evaluation, masks: DataFrame, size: int) -> DataFrame:
+def predict_population(ev: Evaluation, masks: DataFrame, size: int, n_runs: int = 1) -> DataFrame:
     """(run, fold, chunk, doc_id, y, ps): predicted label of each candidate of a chunk."""
     chunks, width = _chunked(masks, size)
     chunks = materialize(chunks)
     group = ["run", "fold", "chunk"]
-    n_runs = chunks.agg(F.max("run")).first()[0] + 1
     n_side = n_runs * ev.n_folds * -(-size // width)
     kept = chunks.join(ev.cells, ["fold", "term"], "left")
     counts = chunks.groupBy(*group).agg(
@@ -201,10 +200,10 @@ def _type(ev: Evaluation) -> str:
     return ev.docs.schema["label"].dataType.simpleString()
 
 
-def evaluate_population(ev: Evaluation, masks: DataFrame, size: int) -> DataFrame:
+def evaluate_population(ev: Evaluation, masks: DataFrame, size: int, n_runs: int = 1) -> DataFrame:
     """(run, fold, cid, fitness): 1 - weighted F1 on the held-out fold; infinite for an empty mask."""
     width = min(CHUNK, size)
-    preds = predict_population(ev, masks, size).select(
+    preds = predict_population(ev, masks, size, n_runs).select(
         "run", "fold", F.posexplode("ps").alias("at", "p"), "chunk", "y") \
         .select("run", "fold", (F.col("chunk") * width + F.col("at")).alias("cid"), "y", "p").where(F.col("cid") < size)
     keys = ("run", "fold", "cid")

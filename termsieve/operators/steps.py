@@ -307,16 +307,20 @@ def step_firefly(pop: DataFrame, fitness: DataFrame, size: int, gen: int, seed:
 # ---------------------------------------------------------------- acceptance
 
 def accept_better(pop: DataFrame, fitness: DataFrame, trial_fitness: DataFrame,
-                  allowed: Column | None = None, ties: bool = True) -> tuple[DataFrame, DataFrame]:
+                  allowed: Column | None = None, forced: Column | None = None,
+                  ties: bool = True) -> tuple[DataFrame, DataFrame]:
     """Keep each candidate's trial if it is no worse (strictly better with ties=False).
 
-    `allowed` is a boolean array over (run, fold) rows that limits which trials may win.
+    `allowed` and `forced` are boolean arrays over (run, fold) rows: trials that may win,
+    and trials that win whatever their fitness.
     """
     both = fitness.join(trial_fitness.withColumnRenamed("fits", "_t"), ["run", "fold"])
     won = F.zip_with("_t", "fits", lambda t, f: (F.round(t, 9) <= F.round(f, 9)) if ties else (F.round(t, 9) < F.round(f, 9)))
     both = both.withColumn("_won", won)
     if allowed is not None:
         both = both.withColumn("_won", F.zip_with("_won", allowed, lambda w, a: w & a))
+    if forced is not None:
+        both = both.withColumn("_won", F.zip_with("_won", forced, lambda w, a: w | a))
     taken = F.transform("xs", lambda x, c: F.when(F.col("_won")[c], F.col("ys")[c]).otherwise(x))
     kept = _join(pop, both.select("run", "fold", "_won")).withColumn("xs", taken)
     fits = both.select("run", "fold", F.transform("fits", lambda f, c: F.when(
@@ -324,6 +328,33 @@ def accept_better(pop: DataFrame, fitness: DataFrame, trial_fitness: DataFrame,
     return kept.select(*[c for c in pop.columns if c != "ys"]), fits
 
 
+def loud_bats(seed: int, gen: int, size: int, loudness: float = 0.5) -> Column:
+    """Bats loud enough to take a better place."""
+    return F.transform(candidates(size), lambda c: _draw(seed, gen, c, "A") < loudness)
+
+
+def abandoned_nests(size: int, abandon: float = 0.2) -> Column:
+    """The worst nests, which take their new place whatever it is worth."""
+    worst = int(abandon * size)
+    return F.transform(candidates(size), lambda c: F.array_contains(
+        F.slice(by_fitness(), size - worst + 1, worst), c))
+
+
+def accept_onlookers(pop: DataFrame, fitness: DataFrame, trial_fitness: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Each food source takes the best trial of its onlookers if that is no worse."""
+    sources = pop.where(F.col("term").isNull()).select("run", "fold", "source")
+    both = fitness.join(trial_fitness.withColumnRenamed("fits", "_t"), ["run", "fold"]).join(bounded(sources), ["run", "fold"])
+    trials = F.transform("_t", lambda t, c: F.struct(F.round(t, 9).alias("f"), c.alias("c"), F.col("source")[c].alias("s")))
+    best = F.transform("fits", lambda f, s: F.array_min(F.filter(
+        "_x", lambda x: (x["s"] == s) & (x["f"] <= F.round(f, 9))))["c"])
+    both = both.withColumn("_x", trials).withColumn("_win", best)
+    taken = F.transform("xs", lambda x, s: F.coalesce(F.col("ys")[F.col("_win")[s]], x))
+    kept = _join(pop, both.select("run", "fold", "_win")).withColumn("xs", taken)
+    fits = both.select("run", "fold", F.transform("fits", lambda f, s: F.coalesce(
+        F.col("_t")[F.col("_win")[s]], f)).alias("fits"))
+    return kept.select(*[c for c in pop.columns if c not in ("ys", "source")]), fits
+
+
 def accept_all(pop: DataFrame) -> DataFrame:
     return pop.withColumn("xs", F.col("ys")).drop("ys")
 

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import clean as C
 from ..functions import fixed
-from ..operators import bayes, filters, metrics, sample, split, vectorize
-from ..runtime import materialize, scratch_root
+from ..operators import bayes, filters, metrics, population, sample, split, steps, vectorize
+from ..runtime import bounded, materialize, scratch_root
 from ..sources import tables as T
 from . import experiments as X
+from . import wrapper
 from .corpus import build_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -501,3 +502,233 @@ def timing_summary(spark, sf):
         F.struct(F.lit("classification").alias("stage"), F.col("n").cast("double").alias("seconds"))))
     seconds = cells.select(F.col("source").alias("method"), "fold", stages.alias("_s")).select("method", "fold", "_s.*")
     return metrics.timing_summary(seconds).select("method", "stage", *r6("avg_seconds"))
+
+
+# ---------------------------------------------------------------- wrapper selection
+
+SIZE, INNER = 6, 2
+
+
+def inner_corpus(spark, sf):
+    """Word weights of all documents with two shuffled inner folds."""
+    d = docs(spark, sf)
+    folds = materialize(split.kfold_shuffled(d, INNER, SEED))
+    return build_corpus(d.join(folds, "doc_id"))
+
+
+def start(c, evaluator="mnb"):
+    """Evaluation, initial population and its fitness arrays."""
+    ev = population.prepare_evaluation(c.weights, c.docs, c.vocab, INNER, evaluator)
+    pop = materialize(population.init_population(population.gene_dims(c.vocab), SIZE, SEED, 1, INNER))
+    return ev, pop
+
+
+def fitness_of(ev, pop, column="xs"):
+    masks = population.decode_mask(pop, column=column)
+    return bounded(population.fitness_arrays(population.evaluate_population(ev, masks, SIZE)))
+
+
+@query
+def init_population(spark, sf):
+    c = corpus(spark, sf)
+    pop = population.init_population(population.gene_dims(c.vocab), SIZE, SEED, 2, INNER)
+    return population.to_long(pop).select("run", "fold", "cid", "dim", *r6("x"))
+
+
+def first_population(spark, sf):
+    c = corpus(spark, sf)
+    return c, population.init_population(population.gene_dims(c.vocab), SIZE, SEED, 1, INNER)
+
+
+@query
+def decode_mask(spark, sf):
+    _, pop = first_population(spark, sf)
+    free = population.to_long(population.decode_mask(pop), "keep", "keep")
+    fixed_split = population.to_long(population.decode_mask(pop, 0.7), "keep", "keep07")
+    # The threshold gene is a feature only under a fixed split.
+    return fixed_split.join(free, ["run", "fold", "cid", "dim"], "left").select(
+        "run", "fold", "cid", "dim", F.col("keep07").cast("int").alias("keep07"),
+        F.coalesce(F.col("keep").cast("int"), F.lit(-1)).alias("keep"))
+
+
+@query
+def digitize_genes(spark, sf):
+    _, pop = first_population(spark, sf)
+    return population.digitize_genes(population.to_long(pop)).select("run", "fold", "cid", "dim", "bit")
+
+
+@query
+def mask_to_indices(spark, sf):
+    _, pop = first_population(spark, sf)
+    return population.mask_to_indices(population.digitize_genes(population.to_long(pop)))
+
+
+@query
+def evaluate_population(spark, sf):
+    ev, pop = start(inner_corpus(spark, sf))
+    found = population.evaluate_population(ev, population.decode_mask(pop), SIZE)
+    return found.select("run", "fold", "cid", *r6("fitness"))
+
+
+@query
+def evaluate_population_gaussian(spark, sf):
+    ev, pop = start(inner_corpus(spark, sf), "gnb")
+    found = population.evaluate_population(ev, population.decode_mask(pop), SIZE)
+    return found.select("run", "fold", "cid", *r6("fitness"))
+
+
+@query
+def evaluate_regression(spark, sf):
+    """Predicting a document's length by the mean length of its language, per source."""
+    d = documents(spark, sf)
+    means = d.groupBy("lang").agg(F.avg("n_chars").alias("yhat"))
+    preds = d.join(bounded(means), "lang").select(
+        F.col("source").alias("fold"), F.lit(0).alias("cid"), F.col("n_chars").cast("double").alias("y"), "yhat")
+    return population.evaluate_regression(preds).select("fold", "cid", F.round("fitness", 3).alias("fitness"))
+
+
+def run_results(spark, sf):
+    """Each candidate of the first population stands for the result of one run."""
+    ev, pop = start(inner_corpus(spark, sf))
+    masks = population.decode_mask(pop)
+    found = population.evaluate_population(ev, masks, SIZE).withColumn("run", F.col("cid")).drop("cid")
+    kept = masks.select("fold", "dim", "term", F.posexplode("keep").alias("run", "selected"))
+    return materialize(found), kept
+
+
+@query
+def fan_out_runs(spark, sf):
+    found, _ = run_results(spark, sf)
+    return found.select("run", "fold", *r6("fitness"))
+
+
+@query
+def best_per_fold(spark, sf):
+    found, _ = run_results(spark, sf)
+    return population.best_per_fold(found).select("run", "fold", *r6("fitness"))
+
+
+def votes(spark, sf):
+    found, kept = run_results(spark, sf)
+    best = population.best_per_fold(found).select("run", "fold")
+    return population.vote_features(kept.join(bounded(best), ["run", "fold"], "left_semi"), INNER)
+
+
+@query
+def vote_features(spark, sf):
+    return votes(spark, sf)
+
+
+@query
+def ensure_nonempty(spark, sf):
+    """The vote as it is, and a vote that dropped every feature."""
+    scores = votes(spark, sf)
+    emptied = population.ensure_nonempty(scores.withColumn("score", F.lit(0)))
+    kept = population.ensure_nonempty(scores)
+    return kept.join(emptied.select("dim", F.col("score").alias("score_if_empty")), "dim")
+
+
+@query
+def support_mask(spark, sf):
+    return population.support_mask(votes(spark, sf)).select("dim", "term")
+
+
+def _step(name: str, fn) -> None:
+    def run(spark, sf):
+        c = inner_corpus(spark, sf)
+        ev, pop = start(c)
+        return fn(ev, pop, fitness_of(ev, pop))
+    QUERIES[f"step_{name}"] = run
+
+
+def trial_genes(moved, column="ys"):
+    return population.to_long(moved, column).select("run", "fold", "cid", "dim", *r6("x"))
+
+
+def greedy(ev, pop, fits, moved, **options):
+    moved = materialize(moved)
+    kept, _ = steps.accept_better(moved, fits, fitness_of(ev, moved, "ys"), **options)
+    return trial_genes(kept, "xs")
+
+
+def colony(ev, pop, fits):
+    n_genes = ev.vocab.n_terms + 1
+    both = None
+    for phase in ("employed", "onlooker"):
+        one = trial_genes(steps.step_abc(pop, fits, SIZE, 1, SEED, n_genes, phase)).withColumn("phase", F.lit(phase))
+        both = one if both is None else both.unionByName(one)
+    # The worst source counts as exhausted.
+    lost = fits.withColumn("_w", steps.by_fitness()[SIZE - 1]).select(
+        "run", "fold", F.transform("fits", lambda f, c: c == F.col("_w")).alias("lost"))
+    scouted = trial_genes(steps.scouts(pop, lost, 1, SEED), "xs").withColumn("phase", F.lit("scout"))
+    return both.unionByName(scouted)
+
+
+def bats(ev, pop, fits):
+    moved = steps.step_bat(pop, fits, SIZE, 1, SEED)
+    return greedy(ev, pop, fits, moved, allowed=steps.loud_bats(SEED, 1, SIZE))
+
+
+def cuckoos(ev, pop, fits):
+    moved = steps.step_cuckoo(pop, fits, SIZE, 1, SEED)
+    return greedy(ev, pop, fits, moved, forced=steps.abandoned_nests(SIZE))
+
+
+def harmonies(ev, pop, fits):
+    moved = materialize(steps.step_harmony(pop, fits, SIZE, 1, SEED))
+    kept, _ = steps.replace_worst(moved, fits, fitness_of(ev, moved, "ys"), SIZE)
+    return trial_genes(kept, "xs")
+
+
+def swarm(ev, pop, fits):
+    """Two steps, so that velocities and personal bests matter."""
+    one = materialize(steps.step_pso(pop, fits, SIZE, 1, SEED))
+    held, best = steps.accept_better(one.withColumn("_x", F.col("ys")).withColumn("xs", F.col("ps")), fits,
+                                     fitness_of(ev, one, "ys"), ties=False)
+    at = held.withColumn("ps", F.col("xs")).withColumn("xs", F.col("_x")).drop("_x")
+    return trial_genes(steps.step_pso(at, bounded(best), SIZE, 2, SEED))
+
+
+for _name, _fn in {
+    "ga": lambda ev, pop, fits: trial_genes(steps.step_ga(pop, fits, SIZE, 1, SEED)),
+    "gwo": lambda ev, pop, fits: trial_genes(steps.step_gwo(pop, fits, SIZE, 1, SEED)),
+    "sca": lambda ev, pop, fits: trial_genes(steps.step_sca(pop, fits, SIZE, 1, SEED)),
+    "abc": colony,
+    "bat": bats,
+    "cuckoo": cuckoos,
+    "de": lambda ev, pop, fits: greedy(ev, pop, fits, steps.step_de(pop, fits, SIZE, 1, SEED, ev.vocab.n_terms + 1)),
+    "harmony": harmonies,
+    "pso": swarm,
+    "firefly": lambda ev, pop, fits: trial_genes(steps.step_firefly(pop, fits, SIZE, 1, SEED)),
+}.items():
+    _step(_name, _fn)
+
+
+@query
+def search(spark, sf):
+    """Best fitness after each generation of a short search by every method."""
+    c = inner_corpus(spark, sf)
+    ev = population.prepare_evaluation(c.weights, c.docs, c.vocab, INNER)
+    rows = []
+    for method in wrapper.METHODS:
+        found = wrapper.search(ev, method, SIZE, 3 * SIZE, 1, SEED)
+        rows += [(method, *h) for h in found.history]
+    return spark.createDataFrame(rows, "method string, generation int, run int, fold int, best double")
+
+
+@query
+def population_size_sweep(spark, sf):
+    """Features selected and hold-out accuracy per population size."""
+    c = holdout_corpus(spark, sf)
+    train, train_docs = c.part("train")
+    test, test_docs = c.part("test")
+    out = None
+    for size in (4, 8):
+        scores = materialize(wrapper.select_features(train, train_docs, c.vocab, "cuckoo", size, 2 * size, 1, INNER, SEED, "mnb"))
+        kept = population.support_mask(scores)
+        preds = bayes.classify_multinomial_nb(
+            filters.apply_selection(train, kept), train_docs, filters.apply_selection(test, kept), test_docs,
+            c.vocab.restrict(kept))
+        row = metrics.accuracy(preds).select(F.lit(size).alias("size"), F.lit(kept.count()).alias("n_selected"), *r6("accuracy"))
+        out = row if out is None else out.unionByName(row)
+    return out
