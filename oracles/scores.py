@@ -5,8 +5,8 @@ Scores are computed over full term-by-class grids with explicit zeros.
 
 from __future__ import annotations
 
-from .base import DOCS, TFIDF, WEIGHTS, WORDS, vocabulary, with_
-from .text import GRAM_COUNTS, GRAMS, HOLDOUT, PLAIN, SHUFFLED, folds
+from .base import DOCS, SPLIT_DOCS, TFIDF, WEIGHTS, WORDS, vocabulary, with_
+from .text import GRAM_COUNTS, GRAMS, HOLDOUT, LING, PLAIN, SHUFFLED, folds
 
 SQL: dict[str, str] = {}
 
@@ -147,8 +147,18 @@ UNION ALL SELECT (count(*) + 1)::INT, 'accuracy', NULL, NULL, round(sum(tp) / su
 UNION ALL SELECT (count(*) + 2)::INT, 'macro avg', round(avg(precision), 3), round(avg(recall), 3), round(avg(f1), 3), sum(support)::BIGINT FROM prf
 UNION ALL SELECT (count(*) + 3)::INT, 'weighted avg', round(sum(precision * support) / sum(support), 3),
   round(sum(recall * support) / sum(support), 3), round(sum(f1 * support) / sum(support), 3), sum(support)::BIGINT FROM prf"""
-SQL["sink_report"] = f"""SELECT printf('%-14s %.3f %.3f %.3f %d', name, coalesce(precision, 0), coalesce(recall, 0), f1, support) AS value
-FROM ({SQL['classification_report']})"""
+_NUM = "printf('%.3f', coalesce({}, 0))"
+SQL["sink_report"] = with_(*HOLD_MNB, CLASS_SCORES, f"rep AS ({SQL['classification_report'].split(CLASS_SCORES)[1]})") + f"""
+SELECT unnest(['-----', '-----', '-----', '-----']) || repeat('-', 95) AS value
+UNION ALL SELECT '# of instances in train: ' || count(*) FILTER (WHERE split = 'train') || ' and test: ' || count(*) FILTER (WHERE split = 'test') FROM docs
+UNION ALL SELECT unnest(['Feature model-scheme: bow_tf-idf', 'Minimum document frequency: 3', 'Random state: 123',
+  'Vectorizer''s computation time: 0.0', 'Classification report for MNB:', 'Confusion matrix for MNB:', 'Target names:'])
+UNION ALL SELECT '# of features: ' || count(*) FROM vocab
+UNION ALL SELECT name || '  ' || {_NUM.format('precision')} || '  ' || {_NUM.format('recall')} || '  ' || {_NUM.format('f1')} || '  ' || support FROM rep
+UNION ALL SELECT '[' || string_agg(n, ' ' ORDER BY p) || ']' FROM (SELECT a.l AS y, b.l AS p, count(preds.doc_id) AS n
+  FROM (SELECT y AS l FROM preds UNION SELECT p FROM preds) a CROSS JOIN (SELECT y AS l FROM preds UNION SELECT p FROM preds) b
+  LEFT JOIN preds ON preds.y = a.l AND preds.p = b.l GROUP BY ALL) GROUP BY y
+UNION ALL SELECT (row_number() OVER (ORDER BY label) - 1) || ' -> ' || label FROM (SELECT DISTINCT label FROM docs)"""
 SQL["selected_counts"] = "WITH " + ",\n".join([*FOLD_CORPUS, FOLD_CHI2]) + """
 SELECT fold, count(*) AS n_selected, round(avg(count(*)) OVER (), 6) AS avg_selected
 FROM scores WHERE round(score, 6) > 1 GROUP BY fold"""
@@ -214,3 +224,41 @@ best_k AS (SELECT x.fold, x.doc_id, x.slot, x.y,
   FROM paths x JOIN totals_k t ON t.fold = x.fold AND t.label = x.label AND t.slot = x.slot GROUP BY ALL)"""]) + """
 SELECT (10 * slot)::INT AS k, 'MNB' AS classifier, round(avg(acc), 6) AS avg_accuracy
 FROM (SELECT slot, fold, avg((y = p)::INT) AS acc FROM best_k GROUP BY ALL) GROUP BY slot"""
+
+
+def _scheme(name: str, source: list[str], weight: str) -> str:
+    """Hold-out accuracy of one weighting scheme, fitted on the train documents."""
+    train = "train_counts AS (SELECT * FROM counts JOIN (SELECT doc_id FROM docs WHERE split = 'train') USING (doc_id))"
+    vocab = vocabulary(3, "train_counts").replace("FROM docs)", "FROM docs WHERE split = 'train')")
+    weights = WEIGHTS if weight == "tfidf" else \
+        f"weights AS (SELECT c.doc_id, c.label, c.term, {weight}::DOUBLE AS w FROM counts c JOIN vocab USING (term))"
+    parts = ",\n".join([SPLIT_DOCS, *source, train, vocab, weights, HOLD_PARTS,
+                        multinomial("entries", "tests", "observed", "classes", "(SELECT count(*) FROM vocab)")])
+    return f"SELECT * FROM (WITH {parts} SELECT '{name}' AS scheme, 'MNB' AS classifier, round(avg((y = p)::INT), 6) AS accuracy FROM preds)"
+
+
+_LING_COUNTS = [*LING, "counts AS (SELECT doc_id, label, term, count(*) AS tf FROM ling GROUP BY ALL)"]
+_CHAR_COUNTS = [GRAMS, GRAM_COUNTS]
+SQL["scheme_grid"] = " UNION ALL ".join(
+    _scheme(f"{prefix}{name}", source, weight)
+    for prefix, source in (("bow_", _LING_COUNTS), ("3", _CHAR_COUNTS))
+    for name, weight in (("tf-idf", "tfidf"), ("tf", "tf"), ("binary", "1")))
+
+FOLD_MI = """term_df AS (SELECT fold, term, sum(n) AS df FROM observed GROUP BY ALL),
+mi_cells AS (SELECT t.fold, t.term, c.n_label, c.n_docs::DOUBLE AS n, t.df, coalesce(o.n, 0) AS hit FROM term_df t
+  JOIN classes c ON c.fold = t.fold LEFT JOIN observed o ON o.fold = t.fold AND o.term = t.term AND o.label = c.label),
+mi_scores AS (SELECT fold, term, sum(CASE WHEN hit > 0 THEN hit / n * ln(hit * n / (n_label * df::DOUBLE)) ELSE 0 END +
+  CASE WHEN n_label > hit THEN (n_label - hit) / n * ln((n_label - hit) * n / (n_label * (n - df))) ELSE 0 END) AS score FROM mi_cells GROUP BY ALL),
+mi_ranks AS (SELECT fold, term, row_number() OVER (PARTITION BY fold ORDER BY round(score, 6) DESC, term DESC) AS rank FROM mi_scores)"""
+
+
+def _method(name: str, ranks: str) -> str:
+    kept = f"""kept_observed AS (SELECT o.* FROM observed o JOIN {ranks} r USING (fold, term) WHERE rank <= 490),
+kept_entries AS (SELECT e.* FROM fold_entries e JOIN {ranks} r USING (fold, term) WHERE rank <= 490)"""
+    return f"""SELECT * FROM (WITH {kept}, {multinomial("kept_entries", "folds", "kept_observed", "classes", "490")}
+SELECT '{name}' AS method, round(avg(acc), 6) AS avg_accuracy, 490.0::DOUBLE AS avg_selected
+FROM (SELECT fold, avg((y = p)::INT) AS acc FROM preds GROUP BY fold))"""
+
+
+SQL["method_comparison"] = "WITH " + ",\n".join([*FOLD_CORPUS, FOLD_CHI2, FOLD_RANKS, FOLD_ENTRIES, FOLD_MI]) + \
+    "\n" + _method("chi2", "ranks") + " UNION ALL " + _method("mi", "mi_ranks")

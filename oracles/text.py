@@ -158,12 +158,12 @@ stems AS (SELECT term, CASE WHEN length(term) <= 2 THEN term ELSE CASE term {irr
 
 
 _ALL_WORDS = f"all_words AS (SELECT doc_id, label, unnest({words('text')}) AS term FROM docs)"
-_LING = [_ALL_WORDS.replace(words("text"), no_stopwords(words("text"))), stem_ctes("all_words"),
+LING = [_ALL_WORDS.replace(words("text"), no_stopwords(words("text"))), stem_ctes("all_words"),
          """ling AS (SELECT doc_id, label, stem AS term FROM all_words JOIN stems USING (term)
   WHERE regexp_matches(stem, '^[a-zA-Z]') AND length(stem) >= 2)"""]
 SQL["conflate_tokens"] = with_(DOCS, _ALL_WORDS, stem_ctes("all_words")) + \
     "SELECT stem AS term, count(*) AS n FROM all_words JOIN stems USING (term) GROUP BY stem"
-SQL["linguistic_terms"] = with_(DOCS, *_LING) + "SELECT label, term, count(*) AS n FROM ling GROUP BY ALL"
+SQL["linguistic_terms"] = with_(DOCS, *LING) + "SELECT label, term, count(*) AS n FROM ling GROUP BY ALL"
 SQL["linguistic_tokens"] = with_(
     DOCS, f"lists AS (SELECT doc_id, {no_stopwords(words('text'))} AS ts FROM docs)",
     "all_words AS (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM lists)",

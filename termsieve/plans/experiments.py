@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..operators.bayes import classify_gaussian_nb, classify_multinomial_nb
+from ..operators.classify import CLASSIFIERS, classify_all
 from ..operators.filters import (apply_selection, chi2_scores, class_table, mutual_info_presence, rank_terms,
                                  select_k_best, term_class_sums)
-from ..operators.metrics import accuracy, all_scores, fold_average
+from ..operators.metrics import accuracy, all_scores, fold_average, method_comparison
 from ..operators.split import stratified_folds
 from ..operators.vectorize import join_on_term
 from ..runtime import bounded, broadcast_checked, materialize
@@ -122,3 +123,46 @@ def filter_over_folds(corpus: Corpus, n_folds: int, k: int, score: str = "chi2")
 def fixed_k_run(corpus: Corpus, k: int, classifier: str = "MNB", score: str = "chi2") -> DataFrame:
     """Accuracy and F1 averages of one hold-out run with the k best terms."""
     return all_scores(holdout_bayes(corpus, classifier, k, score)).withColumn("k", F.lit(min(k, corpus.vocab.n_terms)))
+
+
+# Term weighting schemes compared on a hold-out split: analyzer and weighting.
+SCHEMES = {
+    "bow_tf-idf": ("linguistic", "tfidf"), "bow_tf": ("linguistic", "tf"), "bow_binary": ("linguistic", "binary"),
+    "3tf-idf": ("char3", "tfidf"), "3tf": ("char3", "tf"), "3binary": ("char3", "binary"),
+}
+
+
+def holdout_run(corpus: Corpus, classifiers: tuple[str, ...], k: int | None = None, score: str = "chi2") -> DataFrame:
+    """(classifier, doc_id, y, p) on test documents, with all or the k best terms of the train ones."""
+    train, train_docs = corpus.part("train")
+    test, test_docs = corpus.part("test")
+    vocab = corpus.vocab
+    if k is not None:
+        selected = materialize(select_k_best(SCORES[score](train, train_docs), min(k, vocab.n_terms)))
+        train, test = apply_selection(train, selected), apply_selection(test, selected)
+        vocab = vocab.restrict(selected)
+    return classify_all(train, train_docs, test, test_docs, vocab, classifiers=classifiers)
+
+
+def scheme_grid(docs: DataFrame, classifiers: tuple[str, ...] = CLASSIFIERS, min_df: int = 3,
+                schemes: dict = SCHEMES) -> DataFrame:
+    """(scheme, classifier, accuracy) of every weighting scheme on a predefined split."""
+    out = None
+    for name, (analyzer, weighting) in schemes.items():
+        corpus = build_corpus(docs, analyzer, weighting, min_df, fit_on="train")
+        one = accuracy(holdout_run(corpus, classifiers), ("classifier",)).withColumn("scheme", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("scheme", "classifier", "accuracy")
+
+
+def compare_filters(corpus: Corpus, n_folds: int, k: int, scores: tuple[str, ...] = ("chi2", "mi")) -> DataFrame:
+    """(method, avg_accuracy, avg_selected) of filter scores over folds."""
+    preds = selected = None
+    for name in scores:
+        best = materialize(select_k_best(SCORES[name](corpus.weights, corpus.docs, n_folds), min(k, corpus.vocab.n_terms)))
+        run = classify_multinomial_nb(corpus.weights, corpus.docs, corpus.weights, corpus.docs, corpus.vocab,
+                                      n_folds, best, min(k, corpus.vocab.n_terms)).withColumn("method", F.lit(name))
+        kept = best.select(F.lit(name).alias("method"), "fold", "term")
+        preds = run if preds is None else preds.unionByName(run)
+        selected = kept if selected is None else selected.unionByName(kept)
+    return method_comparison(preds, selected)
