@@ -61,7 +61,7 @@ def predict_svm(train: DataFrame, test: DataFrame, n_classes: int) -> DataFrame:
         a, b = pair
         rows = train.where(F.col("label_idx").isin(float(a), float(b))) \
             .withColumn("label_idx", (F.col("label_idx") == float(b)).cast("double"))
-        svm = LinearSVC(maxIter=1000, regParam=1.0 / (sizes[a] + sizes[b]), standardization=False, tol=1e-6,
+        svm = LinearSVC(maxIter=1000, regParam=1.0 / (sizes[a] + sizes[b]), standardization=False, tol=1e-4,
                         rawPredictionCol=f"_r{a}_{b}", **_columns(f"_v{a}_{b}"))
         return svm.fit(rows)
 

@@ -36,7 +36,9 @@ def gene_dims(vocab: Vocabulary) -> DataFrame:
 
 def init_population(dims: DataFrame, size: int, seed: int, n_runs: int = 1, n_folds: int = 1) -> DataFrame:
     """Uniform genes keyed by (seed of the run, candidate, dimension); folds start alike."""
-    runs = dims.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))))
+    # Genes are spread evenly once; every later step keeps this layout.
+    parts = int(dims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = dims.repartition(parts, "dim").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))))
     genes = F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
                         lambda c: uniform(run_seed(seed), c, F.col("dim")))
     return runs.withColumn("xs", genes) \
@@ -137,9 +139,8 @@ def _each(width: int, value) -> Column:
 
 
 def predict_population(ev: Evaluation, masks: DataFrame, size: int, n_runs: int = 1) -> DataFrame:
-    """(run, fold, chunk, doc_id, y, ps): predicted label of each candidate of a chunk."""
+    """(run, fold, chunk, doc_id, y, ps): predicted label of each candidate of a chunk, null for an empty one."""
     chunks, width = _chunked(masks, size)
-    chunks = materialize(chunks)
     group = ["run", "fold", "chunk"]
     n_side = n_runs * ev.n_folds * -(-size // width)
     kept = chunks.join(ev.cells, ["fold", "term"], "left")
@@ -151,7 +152,7 @@ def predict_population(ev: Evaluation, masks: DataFrame, size: int, n_runs: int
             .groupBy(*group, F.col("_c.label").alias("label")).agg(
                 _each(width, lambda k, c: F.coalesce(F.sum(F.when(k, F.col("_c.s"))), F.lit(0.0))).alias("s"))
         model = counts.join(ev.classes, "fold").join(totals, [*group, "label"], "left").select(
-            *group, "label", F.log(F.col("n_label") / F.col("n_docs")).alias("prior"),
+            *group, "v", "label", F.log(F.col("n_label") / F.col("n_docs")).alias("prior"),
             F.transform("v", lambda v, i: F.log(F.coalesce(F.col("s")[i], F.lit(0.0)) + v)).alias("norm"))
         side = kept.select(*group, "term", "keep", F.concat(
             F.coalesce(F.transform("cells", lambda c: F.struct(c["label"].alias("label"), c["l"].alias("l"))),
@@ -169,7 +170,7 @@ def predict_population(ev: Evaluation, masks: DataFrame, size: int, n_runs: int
                 _each(width, lambda k, c: F.coalesce(F.sum(F.when(k, at_zero(c))), F.lit(0.0))).alias("norm"))
         # Terms without training entries have mean 0 and variance eps in every class, so they shift all alike.
         model = counts.join(ev.classes, "fold").join(bases, [*group, "label"], "left").select(
-            *group, "label", F.log(F.col("n_label") / F.col("n_docs")).alias("prior"), "norm")
+            *group, "v", "label", F.log(F.col("n_label") / F.col("n_docs")).alias("prior"), "norm")
         side = inner.join(eps, group).select(*group, "term", "keep", "eps", "cells")
         part = lambda c: (2.0 * F.col("w") * F.col("_c.mu") - F.col("w") * F.col("w")) \
             / (2.0 * (F.col("_c.var") + F.col("eps")[c]))
@@ -181,7 +182,8 @@ def predict_population(ev: Evaluation, masks: DataFrame, size: int, n_runs: int
     per_doc = sums.groupBy("doc_id", "run", "chunk").agg(
         F.first(F.when(F.col("label").isNull(), F.col("a")), ignorenulls=True).alias("_w"),
         F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "a")))).alias("_a"))
-    per_fold = bounded(model.groupBy(*group).agg(F.collect_list(F.struct("label", "prior", "norm")).alias("_m")))
+    per_fold = bounded(model.groupBy(*group).agg(
+        F.first("v").alias("_v"), F.collect_list(F.struct("label", "prior", "norm")).alias("_m")))
     rows = ev.docs.withColumnRenamed("label", "y").join(per_fold, "fold") \
         .join(per_doc, ["doc_id", "run", "chunk"], "left")
 
@@ -191,8 +193,9 @@ def predict_population(ev: Evaluation, masks: DataFrame, size: int, n_runs: int
             return a - F.coalesce(F.col("_w")[c], F.lit(0.0)) * m["norm"][c]
         return a + F.coalesce(m["norm"][c], F.lit(0.0))
 
-    best = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.array_min(F.transform(
-        "_m", lambda m: F.struct((-F.round(score(m, c), 6)).alias("s"), m["label"].alias("l"))))["l"])
+    # A candidate without features predicts nothing.
+    best = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.when(F.col("_v")[c] > 0, F.array_min(F.transform(
+        "_m", lambda m: F.struct((-F.round(score(m, c), 6)).alias("s"), m["label"].alias("l"))))["l"]))
     return rows.select("run", "fold", "chunk", "doc_id", "y", best.alias("ps"))
 
 
@@ -207,13 +210,9 @@ def evaluate_population(ev: Evaluation, masks: DataFrame, size: int, n_runs: int
         "run", "fold", F.posexplode("ps").alias("at", "p"), "chunk", "y") \
         .select("run", "fold", (F.col("chunk") * width + F.col("at")).alias("cid"), "y", "p").where(F.col("cid") < size)
     keys = ("run", "fold", "cid")
-    f1 = class_scores(preds, keys).groupBy(*keys).agg(
-        (1.0 - F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("_f"))
-    used = masks.groupBy("run", "fold").agg(
-        F.array(*[F.sum(F.col("keep")[c].cast("long")) for c in range(size)]).alias("_n")) \
-        .select("run", "fold", F.posexplode("_n").alias("cid", "_n"))
-    return f1.join(bounded(used), list(keys)).select(
-        *keys, F.when(F.col("_n") > 0, F.col("_f")).otherwise(F.lit(float("inf"))).alias("fitness"))
+    weighted = 1.0 - F.sum(F.col("f1") * F.col("support")) / F.sum("support")
+    return class_scores(preds, keys).groupBy(*keys).agg(
+        F.when(F.max(F.col("label").isNull()), F.lit(float("inf"))).otherwise(weighted).alias("fitness"))
 
 
 def evaluate_regression(preds: DataFrame, keys: tuple[str, ...] = ("fold", "cid")) -> DataFrame:

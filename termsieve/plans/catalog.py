@@ -707,11 +707,11 @@ for _name, _fn in {
 
 @query
 def search(spark, sf):
-    """Best fitness after each generation of a short search by every method."""
+    """Best fitness after each generation of a short search by two methods."""
     c = inner_corpus(spark, sf)
     ev = population.prepare_evaluation(c.weights, c.docs, c.vocab, INNER)
     rows = []
-    for method in wrapper.METHODS:
+    for method in ("gwo", "abc"):
         found = wrapper.search(ev, method, SIZE, 3 * SIZE, 1, SEED)
         rows += [(method, *h) for h in found.history]
     return spark.createDataFrame(rows, "method string, generation int, run int, fold int, best double")
