@@ -25,6 +25,8 @@ ML_CLASSIFIERS = ("LR", "SVM", "DT", "RF")
 # Largest model (features x classes) an ML estimator gathers on the driver.
 MODEL_CELLS = 50_000_000
 PARALLEL_FITS = 4
+# Iterative fits run one job per iteration; tasks with fewer documents than this cost more than they do.
+DOCS_PER_TASK = 2_000
 
 
 def vectors(weights: DataFrame, docs: DataFrame, vocab: Vocabulary, codes: DataFrame) -> DataFrame:
@@ -38,18 +40,23 @@ def _columns(name: str) -> dict:
     return {"labelCol": "label_idx", "featuresCol": "features", "predictionCol": name}
 
 
+def packed(train: DataFrame, n: int) -> DataFrame:
+    """`n` training documents in few partitions if they are few; large inputs stay as they are."""
+    return train.coalesce(max(1, n // DOCS_PER_TASK))
+
+
 def fit_lr(train: DataFrame, n: int, seed: int, n_classes: int):
     """Multinomial logistic regression with squared penalty; C = 1 means 1 / n per document."""
     return LogisticRegression(maxIter=1000, family="multinomial", standardization=False, regParam=1.0 / n,
-                              tol=1e-6, **_columns("_p")).fit(train)
+                              tol=1e-6, **_columns("_p")).fit(packed(train, n))
 
 
 def fit_tree(train: DataFrame, n: int, seed: int, n_classes: int):
-    return DecisionTreeClassifier(impurity="gini", maxDepth=30, seed=seed, **_columns("_p")).fit(train)
+    return DecisionTreeClassifier(impurity="gini", maxDepth=30, seed=seed, **_columns("_p")).fit(packed(train, n))
 
 
 def fit_forest(train: DataFrame, n: int, seed: int, n_classes: int):
-    return RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed, **_columns("_p")).fit(train)
+    return RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed, **_columns("_p")).fit(packed(train, n))
 
 
 def predict_svm(train: DataFrame, test: DataFrame, n_classes: int) -> DataFrame:
@@ -61,9 +68,10 @@ def predict_svm(train: DataFrame, test: DataFrame, n_classes: int) -> DataFrame:
         a, b = pair
         rows = train.where(F.col("label_idx").isin(float(a), float(b))) \
             .withColumn("label_idx", (F.col("label_idx") == float(b)).cast("double"))
-        svm = LinearSVC(maxIter=1000, regParam=1.0 / (sizes[a] + sizes[b]), standardization=False, tol=1e-4,
+        n = sizes[a] + sizes[b]
+        svm = LinearSVC(maxIter=200, regParam=1.0 / n, standardization=False, tol=1e-4,
                         rawPredictionCol=f"_r{a}_{b}", **_columns(f"_v{a}_{b}"))
-        return svm.fit(rows)
+        return svm.fit(packed(rows, n))
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         models = list(pool.map(fit, pairs))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import bounded, broadcast_checked, materialize, ranked
+from .vectorize import join_on_term, sized_vocabulary
 
 
 def class_table(docs: DataFrame, n_folds: int | None = None) -> DataFrame:
@@ -103,11 +104,12 @@ def mutual_info_binned(weights: DataFrame, docs: DataFrame, bins: int = 4) -> Da
     classes = bounded(class_table(docs)).drop("fold")
     entries = materialize(weights.select("term", "doc_id", "label", F.round("w", 9).alias("_w")))
     place = ranked(entries, ["term"], [F.col("_w"), F.col("doc_id")], name="_rn")
-    totals = entries.groupBy("term").agg(F.count("*").alias("_df"))
+    # All entries count, so document frequencies show which terms to join apart.
+    vocab = sized_vocabulary(entries.groupBy("term").agg(F.count("*").alias("df")), 0)
     q, r, at = F.floor(F.col("_df") / bins), F.col("_df") % bins, F.col("_rn") - 1
     bin_no = F.when(at < r * (q + 1), F.floor(at / (q + 1))).otherwise(
         r + F.floor((at - r * (q + 1)) / F.greatest(q, F.lit(1))))
-    cells = place.join(totals, "term").groupBy("term", "_df", "label", bin_no.alias("bin")).agg(F.count("*").alias("n")) \
+    cells = join_on_term(place, vocab.terms.select("term", F.col("df").alias("_df")), vocab).groupBy("term", "_df", "label", bin_no.alias("bin")).agg(F.count("*").alias("n")) \
         .join(classes, "label")
     per_label = cells.groupBy("term", "_df", "label", "n_label", "n_docs").agg(
         F.sum("n").alias("n"), F.sum(_part(F.col("n"), F.col("n_label"))).alias("_b"))

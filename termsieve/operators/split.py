@@ -39,8 +39,8 @@ def kfold_shuffled(docs: DataFrame, k: int = 2, seed: int = 123, doc_id: str = "
                    keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fold): plain shuffled k-fold; the first n % k folds hold one row more."""
     keys = docs.select(doc_id, *keep)
-    placed = ranked(keys, [], _shuffled(doc_id, seed), name="_rn")
     n = keys.count()
+    placed = ranked(keys, [], _shuffled(doc_id, seed), name="_rn", n_rows=n)
     q, r = divmod(n, k)
     at = F.col("_rn") - 1
     wide = r * (q + 1)

@@ -111,21 +111,22 @@ class Vocabulary:
 
     def restrict(self, selected: DataFrame) -> "Vocabulary":
         """The vocabulary of selected terms."""
-        return _sized(self.terms.join(selected.select("term").distinct(), "term", "left_semi"), self.n_docs)
+        return sized_vocabulary(self.terms.join(selected.select("term").distinct(), "term", "left_semi"), self.n_docs)
 
     def hot(self) -> DataFrame:
         """Terms that hold a large share of all entries: at most HOT_SHARE rows."""
         return self.terms.where(F.col("df") * HOT_SHARE > self.n_entries).select("term")
 
 
-def _sized(terms: DataFrame, n_docs: int) -> Vocabulary:
+def sized_vocabulary(terms: DataFrame, n_docs: int) -> Vocabulary:
+    """Store (term, df) rows and take their sizes."""
     stored = materialize(terms)
     n_terms, n_entries = stored.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
     return Vocabulary(stored, n_docs, n_terms, n_entries)
 
 
 def fit_vocabulary(counts: DataFrame, n_docs: int, min_df: int) -> Vocabulary:
-    return _sized(document_frequency(counts, min_df), n_docs)
+    return sized_vocabulary(document_frequency(counts, min_df), n_docs)
 
 
 def join_on_term(entries: DataFrame, side: DataFrame, vocab: Vocabulary, on: list[str] | str = "term",
