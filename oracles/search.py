@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from .base import DOCS, TFIDF, with_
+from .base import TFIDF
 from .scores import BY_FOLD, FOLD_ENTRIES, FOLDS
 from .text import kfold
 

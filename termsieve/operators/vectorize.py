@@ -13,7 +13,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from ..functions import filter_tokens, porter_stem, regex_clean, tokenize_words
+from ..functions import porter_stem, regex_clean, tokenize_words
 from ..functions.fixed import SPACE, STOPWORDS, WORD
 from ..runtime import BROADCAST_ROWS, broadcast_checked, broadcast_if, materialize, ranked
 

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import clean as C
-from ..functions import fixed
 from ..operators import bayes, filters, metrics, population, sample, split, steps, vectorize
 from ..operators.classify import CLASSIFIERS
 from ..runtime import bounded, materialize, scratch_root

@@ -37,8 +37,7 @@ def differences(got: pd.DataFrame, want: pd.DataFrame) -> str:
         return f"rows {len(got)} vs {len(want)}"
     got, want = canonical(got), canonical(want)
     for c in got.columns:
-        kinds = got[c].dtype.kind, want[c].dtype.kind
-        if len(got) and kinds[0] != kinds[1]:
+        if len(got) and got[c].dtype != want[c].dtype:
             return f"type of {c}: {got[c].dtype} vs {want[c].dtype}"
         same = (got[c] == want[c]) | (got[c].isna() & want[c].isna())
         if not same.all():
