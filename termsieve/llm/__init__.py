@@ -3,9 +3,9 @@
 Nothing else in the library imports this folder.
 """
 
-from . import canonical_license, chat, mixing, quality
+from . import canonical_license, chat, mixing, packing, pii, quality, simhash, url_filter
 
-_MODULES = (quality, canonical_license, chat, mixing)
+_MODULES = (quality, simhash, url_filter, canonical_license, pii, packing, chat, mixing)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
