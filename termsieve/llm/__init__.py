@@ -3,9 +3,11 @@
 Nothing else in the library imports this folder.
 """
 
-from . import canonical_license, chat, mixing, packing, pii, quality, simhash, url_filter
+from . import (canonical_license, chat, embedding_dedup, mixing, packing, pii, quality, simhash, substring_dedup,
+               url_filter)
 
-_MODULES = (quality, simhash, url_filter, canonical_license, pii, packing, chat, mixing)
+_MODULES = (substring_dedup, quality, simhash, url_filter, canonical_license, pii, embedding_dedup, packing, chat,
+            mixing)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
