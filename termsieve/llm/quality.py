@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
 # Documents below this mean log ratio are unlike the trusted ones.
-THRESHOLD = -0.5
+THRESHOLD = -0.2
 # The trusted multinomial is fitted on at most so many labelled documents, the first by hash of their id.
 TRUSTED_ROWS = 50_000
 WINDOW = 5
@@ -110,8 +110,12 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_bu
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that `judge` keeps, with all their columns."""
-    kept = judge(docs, labels, **options).where("kept")
+    """The rows of `docs` that `judge` keeps, with all their columns.
+
+    A filter is not moved below a column that depends on the row's place; without one, each step of the verdict
+    would be written into the filter again and again.
+    """
+    kept = judge(docs, labels, **options).withColumn("_place", F.monotonically_increasing_id()).where("kept AND _place >= 0")
     return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
