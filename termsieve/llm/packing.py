@@ -2,7 +2,8 @@
 
 Each task tokenizes the documents of its partition and places them as they come. A document is cut into whole
 windows and one rest. The rest goes into the fill level that makes the sum of squared counts of partially
-filled windows smallest; only the number of open windows per level is looked at.
+filled windows smallest; only the number of open windows per level is looked at. When a task has read all its
+documents, what lies in the emptiest open windows is cut to fill the fullest.
 """
 
 from __future__ import annotations
@@ -65,29 +66,69 @@ class Levels:
         return sequence, at
 
 
+Piece = tuple  # doc_id, start, ids as bytes, ids of the document
+
+
+def evened(open_windows: list[list[Piece]], window: int) -> None:
+    """Fill the fullest windows with ids cut from the end of the emptiest, until one at most has room."""
+    sizes = [sum(len(p[2]) // 4 for p in pieces) for pieces in open_windows]
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    giver, taker = 0, len(order) - 1
+    while giver < taker:
+        give, take = order[giver], order[taker]
+        doc, start, ids, total = open_windows[give].pop()
+        moved = min(len(ids) // 4, window - sizes[take])
+        kept = len(ids) // 4 - moved
+        if kept:
+            open_windows[give].append((doc, start, ids[:4 * kept], total))
+        if moved:
+            open_windows[take].append((doc, start + kept, ids[4 * kept:], total))
+        sizes[give], sizes[take] = sizes[give] - moved, sizes[take] + moved
+        taker -= sizes[take] == window
+        giver += sizes[give] == 0
+
+
+def _rows(sequences: list[tuple[int, list[Piece]]], kind: pa.DataType, with_ids: bool) -> pa.RecordBatch:
+    rows, ids_of = [], []
+    for sequence, pieces in sequences:
+        offset = 0
+        for doc, start, ids, total in pieces:
+            rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset))
+            offset += len(ids) // 4
+            if with_ids:
+                ids_of.append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
+    kinds = [kind, *[pa.int64()] * 6]
+    columns = [pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    if with_ids:
+        columns, names = [*columns, pa.array(ids_of, type=pa.list_(pa.int32()))], [*names, "ids"]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
 def _packed(batches: Iterator[pa.RecordBatch], path: str, window: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encoder, levels = tokens(path), Levels(window)
-    base = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
+    base, kind = TaskContext.get().partitionId() * SEQUENCES_PER_TASK, pa.int64()
+    waiting: dict[int, list[Piece]] = {}  # pieces of open windows
     for batch in batches:
-        rows, ids_of = [], []
-        for i, text in enumerate(batch.column("text")):
+        filled, kind = [], batch.schema.field("doc_id").type
+        for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
             found = encoder.encode(text.as_py() or "", allowed_special="all")
-            ids, total = np.array([*found, END], dtype="<u4").tobytes(), len(found) + 1
+            ids, total, doc = np.array([*found, END], dtype="<u4").tobytes(), len(found) + 1, doc.as_py()
             for start in range(0, total, window):
                 size = min(window, total - start)
                 sequence, offset = (levels.new(), 0) if size == window else levels.place(size)
-                piece = ids[4 * start:4 * (start + size)]
-                rows.append((i, start, size, zlib.crc32(piece), total, base + sequence, offset))
-                if with_ids:
-                    ids_of.append(np.frombuffer(piece, dtype="<u4").astype(np.int32))
-        if not rows:
-            continue
-        at, *columns = (pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True))
-        columns = [batch.column("doc_id").take(at), *columns]
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        if with_ids:
-            columns, names = [*columns, pa.array(ids_of, type=pa.list_(pa.int32()))], [*names, "ids"]
-        yield pa.RecordBatch.from_arrays(columns, names)
+                pieces = waiting.pop(sequence, [])
+                pieces.append((doc, start, ids[4 * start:4 * (start + size)], total))
+                if offset + size == window:
+                    filled.append((base + sequence, pieces))
+                else:
+                    waiting[sequence] = pieces
+        if filled:
+            yield _rows(filled, kind, with_ids)
+    evened(list(waiting.values()), window)
+    rest = [(base + sequence, pieces) for sequence, pieces in waiting.items() if pieces]
+    if rest:
+        yield _rows(rest, kind, with_ids)
 
 
 def default_vocabulary() -> str:
@@ -101,8 +142,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, w
     A document is its ids and one end id; a null text is empty, so it is one piece of one id. Each id lies in
     exactly one piece; pieces of a sequence follow one another from offset 0 without gaps. Rows that repeat an
     id are packed as documents of their own, a null id stays null, other columns are ignored, and an empty
-    table gives no piece. Each task leaves at most a few windows per level open. The same input partitions give
-    the same sequences, also when a task is run again.
+    table gives no piece. Each task leaves one window with room at most. The same input partitions give the same
+    sequences, also when a task is run again.
     """
     path = vocabulary or default_vocabulary()
     kind = docs.schema["doc_id"].dataType.simpleString()
