@@ -235,7 +235,8 @@ HOLDOUT = [SPLIT_DOCS, WORDS, _TRAIN_COUNTS,
 SQL["transform_with_vocabulary"] = with_(*HOLDOUT) + \
     "SELECT doc_id, term, round(w, 6) AS w FROM weights JOIN docs USING (doc_id) WHERE split = 'test'"
 SQL["to_vectors"] = "WITH " + TFIDF + """
-SELECT doc_id, (SELECT count(*) FROM vocab)::INT AS size, count(w)::INT AS nnz
+SELECT doc_id, (SELECT count(*) FROM vocab)::INT AS size, count(w)::INT AS nnz,
+  coalesce(sum(idx), 0)::BIGINT AS index_sum, round(coalesce(sum((idx + 1) * w), 0), 3) AS moment
 FROM docs LEFT JOIN weights USING (doc_id) GROUP BY doc_id"""
 
 # ---------------------------------------------------------------- splits

@@ -11,17 +11,6 @@ EMOTICONS = [
 # Characters blanked as punctuation.
 PUNCTUATION = "!()-[]{};:'\",<>./?@#$%^&*_~"
 
-# Category names of the news collections and their codes.
-NEWS_FOLDERS = {"ekonomi": 1, "kultursanat": 2, "saglik": 3, "siyaset": 4, "spor": 5, "teknoloji": 6}
-NEWS_CATEGORIES = {"dunya": 1, "ekonomi": 2, "kultur": 3, "saglik": 4, "siyaset": 5, "spor": 6,
-                   "teknoloji": 7}
-MESSAGE_FOLDERS = {"ErkekHakaretVar": "EV", "ErkekHakaretYok": "EY",
-                   "BayanHakaretYok": "BY", "BayanHakaretVar": "BV"}
-NEWSWIRE_CATEGORIES = ["acq", "crude", "earn", "grain", "interest", "money-fx", "ship", "trade"]
-NEWSGROUP_CATEGORIES = [
-    "comp.os.ms-windows.misc", "comp.sys.ibm.pc.hardware", "comp.windows.x", "sci.electronics",
-    "sci.space", "rec.autos", "sci.crypt", "sci.med"]
-
 # Two-word contractions the word tokenizer splits.
 CONTRACTIONS = [("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"),
                 ("wan", "na")]

@@ -117,11 +117,28 @@ def classify_gaussian_nb(train: DataFrame, train_docs: DataFrame, test: DataFram
     """(fold, doc_id, y, p) of a Gaussian model with per-class variances."""
     model, terms = gaussian_model(train, train_docs, vocab, n_folds, smoothing)
     entries = test.select("doc_id", _fold(n_folds), "term", "w")
-    # A class that never saw the term has mean 0 and variance eps there.
-    cell, w = F.try_element_at("_t", F.col("label")), F.col("w")
-    shift = F.when(cell.isNull(), -w * w / (2.0 * F.col("eps"))) \
-        .otherwise((2.0 * w * cell["mu"] - w * w) / (2.0 * cell["var"]))
+    # A class that never saw a term has mean 0 and variance eps there. Only observed cells are joined: their
+    # own parts are summed, and their squares are taken out of the document's, which count at mean 0.
+    w, kind = F.col("w"), train_docs.schema["label"].dataType.simpleString()
+    none = F.struct(F.lit(None).cast(kind).alias("key"), F.struct(F.lit(None).cast("double").alias("mu"), F.lit(None).cast("double").alias("var")).alias("value"))
+    seen = F.coalesce(F.map_entries("_t"), F.array().cast(f"array<struct<key:{kind},value:struct<mu:double,var:double>>>"))
     cells = join_on_term(entries, terms, vocab, ["fold", "term"], n_folds or 1, how="left") \
-        .join(model.select("fold", "label", "eps"), "fold") \
-        .groupBy("doc_id", "label").agg(F.sum(shift).alias("a"))
-    return predict(test_docs, n_folds, cells, model, lambda m, a, _: m["prior"] + m["base"] + a)
+        .select("doc_id", "w", F.explode(F.concat(seen, F.array(none))).alias("_c")) \
+        .groupBy("doc_id", F.col("_c.key").alias("label")).agg(
+            F.sum((2.0 * w * F.col("_c.value.mu") - w * w) / (2.0 * F.col("_c.value.var"))).alias("a"),
+            F.sum(w * w).alias("q"), F.count("*").alias("n"))
+    per_doc = cells.groupBy("doc_id").agg(
+        F.max(F.when(F.col("label").isNull(), F.struct("q", "n"))).alias("_all"),
+        F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", F.struct("a", "q", "n"))))).alias("_a"))
+    classes = model.groupBy("fold").agg(F.collect_list(F.struct("label", "eps", "prior", "base")).alias("_m"))
+    docs = test_docs.select("doc_id", F.col("label").alias("y"), _fold(n_folds))
+    rows = docs.join(per_doc, "doc_id", "left").join(bounded(classes), "fold")
+
+    def score(m):
+        own = F.try_element_at("_a", m["label"])
+        n, q = F.coalesce(own["n"], F.lit(0)), F.coalesce(own["q"], F.lit(0.0))
+        missing = F.when(F.coalesce("_all.n", F.lit(0)) > n, (F.col("_all.q") - q) / (2.0 * m["eps"])).otherwise(0.0)
+        return F.round(m["prior"] + m["base"] + F.coalesce(own["a"], F.lit(0.0)) - missing, SCORE_DIGITS)
+
+    best = F.array_min(F.transform("_m", lambda m: F.struct((-score(m)).alias("s"), m["label"].alias("l"))))
+    return rows.select("fold", "doc_id", "y", best["l"].alias("p"))

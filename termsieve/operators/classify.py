@@ -1,8 +1,8 @@
 """Classifiers of the experiment grid over sparse document vectors.
 
 MNB and NB are the relational models of `bayes`. LR, SVM, DT and RF are Spark ML
-estimators; their models hold a value per feature (and class), so they are meant for
-selected features or vocabularies within MODEL_CELLS.
+estimators; the driver holds their model, a value per feature and class (LR) or pair of
+classes (SVM), so its memory has to be sized for that, or features selected first.
 """
 
 from __future__ import annotations
@@ -16,14 +16,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import bounded
 from . import bayes
-from .metrics import confusion_matrix
 from .sample import label_codes
 from .vectorize import Vocabulary, to_vectors
 
 CLASSIFIERS = ("LR", "SVM", "NB", "MNB", "DT", "RF")
 ML_CLASSIFIERS = ("LR", "SVM", "DT", "RF")
-# Largest model (features x classes) an ML estimator gathers on the driver.
-MODEL_CELLS = 50_000_000
 PARALLEL_FITS = 4
 # Iterative fits run one job per iteration; tasks with fewer documents than this cost more than they do.
 DOCS_PER_TASK = 2_000
@@ -118,9 +115,6 @@ def classify_all(train: DataFrame, train_docs: DataFrame, test: DataFrame, test_
     wanted = [c for c in classifiers if c in ML_CLASSIFIERS]
     if wanted:
         codes = bounded(label_codes(train_docs))
-        cells = vocab.n_terms * codes.count()
-        if cells > MODEL_CELLS:
-            raise ValueError(f"{cells} model cells exceed {MODEL_CELLS}: select features first, or use MNB or NB")
         train_v = vectors(train, train_docs, vocab, codes)
         test_v = vectors(test, test_docs, vocab, codes)
         for name in wanted:
@@ -132,10 +126,6 @@ def classify_all(train: DataFrame, train_docs: DataFrame, test: DataFrame, test_
     return out
 
 
-def confusion_by_classifier(preds: DataFrame) -> DataFrame:
-    return confusion_matrix(preds, ("classifier",))
-
-
 def evaluate_with_classifier(name: str, seed: int = 123):
     """Fitness function for `search` that fits the named classifier once per candidate.
 

@@ -14,6 +14,10 @@ from pyspark.sql.window import Window
 from ..runtime import bounded, broadcast_checked, materialize, ranked
 from .vectorize import join_on_term, sized_vocabulary
 
+# Spark cuts a window to its first rows in each task up to this many by default
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+WINDOW_BEST = 1_000
+
 
 def class_table(docs: DataFrame, n_folds: int | None = None) -> DataFrame:
     """(fold, label, n_label, n_docs) of each training set: one row per fold and class."""
@@ -130,9 +134,11 @@ def _best_first(digits: int) -> list[Column]:
 def select_k_best(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """The k best terms with their `rank`, per fold if there is a `fold` column.
 
-    Ties go to the later term, undefined scores come last. Each task keeps its own k
-    best before the shuffle.
+    Ties go to the later term, undefined scores come last. Up to WINDOW_BEST terms each task keeps its own
+    k best before the shuffle; more are cut from ranks over a range shuffle, so no fold is sorted in one task.
     """
+    if k > WINDOW_BEST:
+        return rank_terms(scores, digits).where(F.col("rank") <= k)
     if "fold" in scores.columns:
         w = Window.partitionBy("fold").orderBy(*_best_first(digits))
         return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -150,6 +156,3 @@ def apply_selection(weights: DataFrame, selected: DataFrame) -> DataFrame:
     """Entries of the selected terms. Weights are not scaled again."""
     return weights.join(broadcast_checked(selected.select("term").distinct()), "term", "left_semi")
 
-
-def grid_of_k(n_features: int, step: int = 10) -> range:
-    return range(step, n_features, step)

@@ -1,8 +1,6 @@
 """Texts to a sparse term relation: (doc_id, term, ...), counts, vocabulary, TF-IDF.
 
-Texts are hashed by document once (`by_document`). The terms of a document then stay
-in its task: counting terms, normalising rows and scoring documents need no further
-shuffle, and one text is moved instead of its many grams.
+One row is one document, so its terms are cut and counted inside the row; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -10,10 +8,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from ..functions import porter_stem, regex_clean, tokenize_words
+from ..functions import porter_stem, regex_clean, remove_stopwords, tokenize_words
 from ..functions.fixed import SPACE, STOPWORDS, WORD
 from ..runtime import BROADCAST_ROWS, broadcast_checked, broadcast_if, materialize, ranked
 
@@ -22,32 +20,39 @@ from ..runtime import BROADCAST_ROWS, broadcast_checked, broadcast_if, materiali
 HOT_SHARE = 1_000
 
 
-def by_document(docs: DataFrame) -> DataFrame:
-    """Hash documents by id; a no-op for a relation that is already laid out this way."""
-    return docs.repartition("doc_id")
+def char_tokens(n: int = 3) -> Column:
+    """Character n-grams of the lower-cased text with merged whitespace runs."""
+    text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), f"[{SPACE}]{{2,}}", " ")
+    # Zero-width matches at every code point; the second half of a surrogate pair is none.
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1))
+
+
+def word_tokens() -> Column:
+    """Words of two or more word characters."""
+    return F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"[{WORD}]{{2,}}"), F.lit(0))
+
+
+def linguistic_words(stopwords: list[str] = STOPWORDS) -> Column:
+    """Cleaned and stopped words, still to be stemmed."""
+    return remove_stopwords(tokenize_words(regex_clean(F.col("text"))), stopwords)
+
+
+def exploded(docs: DataFrame, tokens: Column) -> DataFrame:
+    """One row per token; other columns of a document are carried along."""
+    return docs.withColumn("term", F.explode(tokens)).drop("text")
 
 
 def char_ngrams(docs: DataFrame, n: int = 3) -> DataFrame:
-    """One row per character n-gram of the lower-cased text with merged whitespace runs."""
-    text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), f"[{SPACE}]{{2,}}", " ")
-    # Zero-width matches at every code point; the second half of a surrogate pair is none.
-    grams = F.regexp_extract_all(text, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1))
-    return by_document(docs).withColumn("term", F.explode(grams)).drop("text")
+    return exploded(docs, char_tokens(n))
 
 
 def word_terms(docs: DataFrame) -> DataFrame:
-    """One row per word of two or more word characters."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"[{WORD}]{{2,}}"), F.lit(0))
-    return by_document(docs).withColumn("term", F.explode(words)).drop("text")
+    return exploded(docs, word_tokens())
 
 
-def linguistic_terms(docs: DataFrame, stopwords: list[str] = STOPWORDS,
-                     stems: DataFrame | None = None) -> DataFrame:
+def linguistic_terms(docs: DataFrame, stopwords: list[str] = STOPWORDS, stems: DataFrame | None = None) -> DataFrame:
     """One row per cleaned, stopped and stemmed word."""
-    words = tokenize_words(regex_clean(F.col("text")))
-    terms = by_document(docs).withColumn("term", F.explode(words)).drop("text") \
-        .where(~F.col("term").isin(stopwords))
-    return keep_words(conflate_tokens(terms, stems))
+    return keep_words(conflate_tokens(exploded(docs, linguistic_words(stopwords)), stems))
 
 
 def keep_words(terms: DataFrame, min_length: int = 2) -> DataFrame:
@@ -75,15 +80,36 @@ def conflate_tokens(terms: DataFrame, stems: DataFrame | None = None,
         .withColumn("term", F.coalesce("stem", "term")).drop("stem")
 
 
-def term_counts(terms: DataFrame) -> DataFrame:
-    """`tf` per document and term; other columns of a document are carried along."""
-    keys = [c for c in terms.columns if c != "term"]
-    return terms.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+def term_rows(docs: DataFrame, tokens: Column) -> DataFrame:
+    """`docs` with `terms`, an array of (term, tf), in place of the text."""
+    rows = docs.withColumn("_s", F.array_sort(tokens)).drop("text")
+    rows = rows.withColumn("_at", F.filter(F.transform("_s", lambda t, i: F.when(
+        (i == 0) | (t != F.get("_s", i - 1)), i)), lambda i: i.isNotNull()))
+    runs = F.transform("_at", lambda p, k: F.struct(
+        F.get("_s", p).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("_s")) - p).cast("long").alias("tf")))
+    return rows.withColumn("terms", runs).drop("_s", "_at")
+
+
+def explode_terms(rows: DataFrame) -> DataFrame:
+    """One row per document and term. (A plain explode infers a filter that would count every array twice.)"""
+    keys = [c for c in rows.columns if c != "terms"]
+    return rows.select(*keys, F.explode_outer("terms").alias("_t")).where("_t IS NOT NULL").select(*keys, "_t.term", "_t.tf")
+
+
+def term_counts(docs: DataFrame, tokens: Column) -> DataFrame:
+    """`tf` per document and term, counted inside the document's row."""
+    return explode_terms(term_rows(docs, tokens))
+
+
+def conflate_counts(counts: DataFrame, stems: DataFrame | None = None) -> DataFrame:
+    """Counts of stems from counts of words."""
+    keys = [c for c in counts.columns if c not in ("term", "tf")]
+    return keep_words(conflate_tokens(counts, stems)).groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
 
 
-def binary_terms(terms: DataFrame) -> DataFrame:
+def binary_terms(docs: DataFrame, tokens: Column) -> DataFrame:
     """Presence (tf = 1) per document and term."""
-    return terms.drop("tf").distinct().withColumn("tf", F.lit(1).cast("long"))
+    return exploded(docs, F.array_distinct(tokens)).withColumn("tf", F.lit(1).cast("long"))
 
 
 def document_frequency(counts: DataFrame, min_df: int = 1) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,7 +37,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return T.scan_labelled_table(spark, f"{sf}/documents.parquet", label="lang")
+    return T.dealt(T.scan_labelled_table(spark, f"{sf}/documents.parquet", label="lang"), "doc_id")
 
 
 def split_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,10 +59,7 @@ def keys(df: DataFrame) -> DataFrame:
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    root = scratch_root(spark)
-    if "://" not in root:
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=root)
-    return f"{root}/{name}-{spark.sparkContext.applicationId}-{id(object())}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -72,7 +69,7 @@ def scan_text_tree(spark, sf):
     """A folder per language, one file per document."""
     path = f"{run_folder(spark, 'tree')}/docs"
     docs(spark, sf).select("label", "text").write.partitionBy("label").option("maxRecordsPerFile", 1).text(path)
-    tree = T.scan_text_tree(spark, path, {f"label={lang}": lang for lang in ("de", "en", "es", "fr")})
+    tree = T.scan_text_tree(spark, path).withColumn("label", F.regexp_replace("folder", "^label=", ""))
     # Each file ends with the line break of the text writer.
     tree = tree.withColumn("text", F.expr("left(text, length(text) - 1)"))
     return tree.groupBy("label").agg(F.count("*").alias("n_files"), F.sum(F.length("text")).alias("n_chars"))
@@ -170,7 +167,7 @@ def conflate_tokens(spark, sf):
 
 @query
 def linguistic_tokens(spark, sf):
-    return vectorize.by_document(docs(spark, sf)).select(
+    return docs(spark, sf).select(
         "doc_id", F.array_join(C.linguistic_tokens(F.col("text")), " ").alias("value"))
 
 
@@ -246,7 +243,7 @@ def pool_splits(spark, sf):
 @query
 def corpus_shape(spark, sf):
     d = docs(spark, sf)
-    vocab = vectorize.document_frequency(vectorize.term_counts(vectorize.char_ngrams(d)), 3)
+    vocab = vectorize.document_frequency(vectorize.term_counts(d, vectorize.char_tokens()), 3)
     return sample.corpus_shape(d, vocab)
 
 
@@ -264,11 +261,14 @@ def word_terms(spark, sf):
 
 @query
 def linguistic_terms(spark, sf):
-    return vectorize.linguistic_terms(docs(spark, sf)).groupBy("label", "term").agg(F.count("*").alias("n"))
+    """Words are counted per language before they are stemmed: one pass over the texts."""
+    words = vectorize.exploded(docs(spark, sf), vectorize.linguistic_words())
+    counts = materialize(words.groupBy("label", "term").agg(F.count("*").alias("tf")))
+    return vectorize.conflate_counts(counts).withColumnRenamed("tf", "n")
 
 
 def word_counts(spark, sf):
-    return vectorize.term_counts(vectorize.word_terms(docs(spark, sf)))
+    return vectorize.term_counts(docs(spark, sf), vectorize.word_tokens())
 
 
 @query
@@ -278,7 +278,7 @@ def term_counts(spark, sf):
 
 @query
 def binary_terms(spark, sf):
-    return vectorize.binary_terms(vectorize.word_terms(docs(spark, sf)))
+    return vectorize.binary_terms(docs(spark, sf), vectorize.word_tokens())
 
 
 @query
@@ -305,11 +305,15 @@ def transform_with_vocabulary(spark, sf):
 
 @query
 def to_vectors(spark, sf):
-    from pyspark.ml.functions import vector_to_array
+    """Sizes, and sums over every index and weight, of the vectors as they are stored."""
     c = corpus(spark, sf)
     vectors = vectorize.to_vectors(c.weights, c.docs, c.vocab)
-    dense = vector_to_array("features")
-    return vectors.select("doc_id", F.size(dense).alias("size"), F.size(F.filter(dense, lambda x: x != 0)).alias("nnz"))
+    stored = spark.read.schema("doc_id long, features struct<size:int,indices:array<int>,values:array<double>>") \
+        .parquet(*vectors.inputFiles())
+    at, w = F.col("features.indices"), F.col("features.values")
+    total = F.aggregate(F.zip_with(at, w, lambda i, x: (i + 1) * x), F.lit(0.0), lambda s, x: s + x)
+    return stored.select("doc_id", F.col("features.size").alias("size"), F.size(at).alias("nnz"),
+                         F.aggregate(at, F.lit(0).cast("long"), lambda s, i: s + i).alias("index_sum"), F.round(total, 3).alias("moment"))
 
 
 def corpus(spark, sf, **options):

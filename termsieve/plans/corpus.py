@@ -6,15 +6,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.vectorize import (Vocabulary, binary_terms, char_ngrams, fit_vocabulary, linguistic_terms,
-                                   term_counts, transform_with_vocabulary, word_terms)
+from ..operators.vectorize import (Vocabulary, char_tokens, conflate_counts, explode_terms, fit_vocabulary,
+                                   linguistic_words, term_rows, transform_with_vocabulary, word_tokens)
 from ..runtime import materialize
 
 ANALYZERS = {
-    "word": word_terms,
-    "linguistic": linguistic_terms,
-    "char2": lambda docs: char_ngrams(docs, 2),
-    "char3": lambda docs: char_ngrams(docs, 3),
+    "word": word_tokens,
+    "linguistic": linguistic_words,
+    "char2": lambda: char_tokens(2),
+    "char3": lambda: char_tokens(3),
 }
 
 
@@ -31,12 +31,17 @@ class Corpus:
 
 def build_corpus(docs: DataFrame, analyzer: str = "word", weighting: str = "tfidf", min_df: int = 3,
                  fit_on: str = "all") -> Corpus:
-    """Count terms once, fit the vocabulary on all or on `train` documents, weight every document."""
+    """Count terms once, fit the vocabulary on all or on `train` documents, weight every document.
+
+    Every document is tokenized once. Its counts are stored in buckets by document, so that whatever is grouped
+    by document later needs no shuffle.
+    """
     keys = materialize(docs.drop("text"), key="doc_id")
-    counts = term_counts(ANALYZERS[analyzer](docs))
+    counts = explode_terms(materialize(term_rows(docs, ANALYZERS[analyzer]()), key="doc_id"))
+    if analyzer == "linguistic":
+        counts = conflate_counts(counts)
     if weighting == "binary":
-        counts = binary_terms(counts)
-    # Counting again from the text moves less data than storing every count would.
+        counts = counts.withColumn("tf", F.lit(1).cast("long"))
     fit_docs, fit_counts = keys, counts
     if fit_on == "train":
         fit_docs, fit_counts = keys.where(F.col("split") == "train"), counts.where(F.col("split") == "train")

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-CSV_SCHEMA = "text string, category string"
-
 
 def scan_text_tree(spark: SparkSession, path: str, labels: dict[str, int | str] | None = None) -> DataFrame:
     """One row per file below `path`; the folder of a file is its class.
@@ -42,6 +40,12 @@ def scan_labelled_table(spark: SparkSession, path: str, text: str = "text", labe
     return table.select(key.alias("doc_id"), F.col(text).alias("text"), F.col(label).alias("label"))
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Deal out a table of fewer files than cores, which could be one task; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(key) if len(df.inputFiles()) < cores else df
+
+
 def scan_by_category(docs: DataFrame, categories: list[str] | None = None,
                      column: str = "categories") -> DataFrame:
     """One row per (document, category): a document recurs under each of its categories."""
