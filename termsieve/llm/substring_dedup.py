@@ -4,8 +4,9 @@ A window of words repeats if an earlier document (one with a smaller id) holds t
 Equal windows have the same anchor, the smallest hash of their word n-grams. So anchors that occur in one
 document only are put aside; stretches of windows under the others are sent to shards by anchor. A shard indexes
 its distinct stretches once and streams them through backward search; every window found leads to the smallest
-document that holds it. Anchors of very many documents are first narrowed to windows that repeat, which go to
-shards one by one, so that no common passage gathers in one shard.
+document that holds it. Copies are one stretch. An anchor with very many different stretches, such as a common
+passage in ever new surroundings, is first narrowed to windows that repeat, which go to shards one by one; so no
+anchor gathers much in one shard.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from ..runtime import materialize
 from .fm_index import FMIndex, matches
 
 WINDOW = 50
-# An anchor of more documents than this is dealt out window by window.
-HOT_DOCUMENTS = 500
+# The stretches of an anchor of more documents than this are counted; if more than this differ, the anchor is
+# dealt out window by window.
+HOT = 500
 # Words of the flagged documents for each shard; windows of a stretch.
 SHARD_WORDS, STRETCH = 500_000, 64
 
@@ -155,18 +157,28 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_words", "size", "keys", "hot", "zip", "whole_sha256"])
 
 
+def _pieces(route: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of windows with one anchor."""
+    return [(s, min(e, s + STRETCH)) for first, e in zip(*_cut(route), strict=True) for s in range(first, e, STRETCH)]
+
+
 def _hot_rows(window: int):
-    """Hashes of all windows under an anchor of very many documents."""
+    """Stretches under anchors of very many documents, with the hashes of their windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, hot in zip(_texts(batch), batch.column("hot"), strict=True):
-                hashes = text.hashes()
-                under = np.isin(anchors(hashes, window), np.array(hot.as_py(), np.int64))
-                out.append(np.unique(grams(hashes, window).view(np.int64)[under]))
-            sizes = [len(o) for o in out]
-            columns = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes), pa.int64()) for c in ("doc_id", "row")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *out])), *columns], ["key", "doc_id", "row"])
+            rows = []
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "row", "hot")]
+            for text, doc, row, hot in zip(_texts(batch), *columns, strict=True):
+                hashes, hot = text.hashes(), set(hot)
+                route, whole = anchors(hashes, window), grams(hashes, window).view(np.int64)
+                for s, e in _pieces(route):
+                    if route[s] in hot:
+                        words = text.data[text.starts[s]:text.ends[e + window - 2]]
+                        rows.append((int(route[s]), xxhash.xxh3_64_intdigest(words) - (1 << 63), doc, row, whole[s:e]))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                                 ["key", "name", "doc_id", "row", "windows"])
     return run
 
 
@@ -179,18 +191,16 @@ def _stretches(window: int):
         sent: dict[bytes, int] = {}
         for batch in batches:
             rows = []
-            columns = [batch.column(c) for c in ("doc_id", "row", "keys", "windows")]
-            for text, doc, row, keys, windows in zip(_texts(batch), *columns, strict=True):
-                doc, row = doc.as_py(), row.as_py()
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "row", "keys", "hot", "tame", "windows")]
+            for text, doc, row, keys, hot, tame, windows in zip(_texts(batch), *columns, strict=True):
                 hashes = text.hashes()
-                route, count = anchors(hashes, window), len(hashes) - window + 1
-                todo = [(s, min(e, s + STRETCH)) for first, e in zip(*_cut(route), strict=True) for s in range(first, e, STRETCH)]
-                shared = set(keys.as_py())
-                pieces = [(s, e, route[s]) for s, e in todo if route[s] in shared]
-                if windows.as_py():
-                    whole = grams(hashes, window).view(np.int64)
-                    single = np.flatnonzero(np.isin(whole, np.array(windows.as_py(), np.int64)) & ~np.isin(route, np.array(keys.as_py(), np.int64)))
-                    pieces += [(s, s + 1, whole[s]) for s in single.tolist() if s < count]
+                route = anchors(hashes, window)
+                shared = {*keys, *(tame or ())}
+                pieces = [(s, e, route[s]) for s, e in _pieces(route) if route[s] in shared]
+                if windows:
+                    whole, wild = grams(hashes, window).view(np.int64), np.array([*({*hot} - shared)], np.int64)
+                    single = np.flatnonzero(np.isin(whole, np.array(windows, np.int64)) & np.isin(route, wild))
+                    pieces += [(s, s + 1, whole[s]) for s in single.tolist()]
                 for s, e, key in pieces:
                     words = text.data[text.starts[s]:text.ends[e + window - 2]]
                     name = xxhash.xxh3_128_digest(words)
@@ -268,7 +278,7 @@ def _shared(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(keys, F.col("key") == F.col("_key")).select(by, "key", "n")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT_DOCUMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and removed (spans of words) for each row of `docs`.
 
     Removed are the words of all windows that also start in a document with a smaller doc_id; what is looked
@@ -289,9 +299,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT_DOCUMEN
         .withColumn("row", F.monotonically_increasing_id()))
     flagged = sifted.where("whole_sha256 IS NULL").drop("whole_sha256")
     hot_rows = materialize(flagged.where("size(hot) > 0").select("doc_id", "row", "size", "zip", "hot").mapInArrow(
-        _hot_rows(window), "key long, doc_id long, row long"))
-    repeated = materialize(_shared(hot_rows, "row").groupBy("row").agg(F.collect_set("key").alias("windows")).withColumnRenamed("row", "_row"))
-    ready = flagged.join(repeated, F.col("row") == F.col("_row"), "left").select("doc_id", "row", "size", "zip", "keys", "windows")
+        _hot_rows(window), "key long, name long, doc_id long, row long, windows array<long>"))
+    wild = materialize(hot_rows.select("key", "name").distinct().groupBy("key").agg(F.count("*").alias("n"))
+                       .where(F.col("n") > hot).select(F.col("key").alias("_wild")))
+    tame = hot_rows.join(wild, F.col("key") == F.col("_wild"), "left_anti").select("row", F.col("key").alias("tame"), F.lit(None).cast("long").alias("window"))
+    single = hot_rows.join(wild, F.col("key") == F.col("_wild")).select("doc_id", "row", F.explode("windows").alias("key"))
+    repeated = _shared(materialize(single), "row").select("row", F.lit(None).cast("long").alias("tame"), F.col("key").alias("window"))
+    decided = materialize(tame.union(repeated).groupBy(F.col("row").alias("_row")).agg(
+        F.collect_set("tame").alias("tame"), F.collect_set("window").alias("windows")))
+    ready = flagged.join(decided, F.col("row") == F.col("_row"), "left").select("doc_id", "row", "size", "zip", "keys", "hot", "tame", "windows")
     stretches = ready.mapInArrow(_stretches(window), "name binary, key long, doc_id long, row long, at long, words binary")
     total = flagged.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
