@@ -510,7 +510,7 @@ def timing_summary(spark, sf):
 
 # ---------------------------------------------------------------- wrapper selection
 
-SIZE, INNER = 6, 2
+SIZE, INNER, RUNS = 6, 2, 3
 
 
 def inner_corpus(spark, sf):
@@ -520,10 +520,10 @@ def inner_corpus(spark, sf):
     return build_corpus(d.join(folds, "doc_id"))
 
 
-def start(c, evaluator="mnb"):
-    """Evaluation, initial population and its fitness arrays."""
+def start(c, evaluator="mnb", n_runs=1):
+    """Evaluation and initial population."""
     ev = population.prepare_evaluation(c.weights, c.docs, c.vocab, INNER, evaluator)
-    pop = materialize(population.init_population(population.gene_dims(c.vocab), SIZE, SEED, 1, INNER))
+    pop = materialize(population.init_population(population.gene_dims(c.vocab), SIZE, SEED, n_runs, INNER))
     return ev, pop
 
 
@@ -592,12 +592,15 @@ def evaluate_regression(spark, sf):
 
 
 def run_results(spark, sf):
-    """Each candidate of the first population stands for the result of one run."""
-    ev, pop = start(inner_corpus(spark, sf))
+    """Best candidate of each run and fold, from runs that start with seeds of their own, and its mask."""
+    ev, pop = start(inner_corpus(spark, sf), n_runs=RUNS)
     masks = population.decode_mask(pop)
-    found = population.evaluate_population(ev, masks, SIZE).withColumn("run", F.col("cid")).drop("cid")
-    kept = masks.select("fold", "dim", "term", F.posexplode("keep").alias("run", "selected"))
-    return materialize(found), kept
+    found = population.evaluate_population(ev, masks, SIZE, RUNS)
+    best = found.groupBy("run", "fold").agg(F.min(F.struct(F.round("fitness", 9).alias("f"), "cid", "fitness")).alias("_b"))
+    best = materialize(best.select("run", "fold", F.col("_b.cid").alias("cid"), F.col("_b.fitness").alias("fitness")))
+    kept = masks.join(bounded(best.select("run", "fold", "cid")), ["run", "fold"]).select(
+        "run", "fold", "dim", "term", F.get("keep", F.col("cid")).alias("selected"))
+    return best.drop("cid"), kept
 
 
 @query
@@ -740,9 +743,20 @@ def population_size_sweep(spark, sf):
 
 # ---------------------------------------------------------------- classifier grid
 
+def verdicts(preds, train_docs):
+    """y, p_known (p is a label of the training set) and beats_majority (so does the accuracy) per classifier and document."""
+    labels = bounded(train_docs.select(F.col("label").alias("p")).distinct().withColumn("_known", F.lit(True)))
+    share = preds.groupBy("classifier", "y").agg(F.count("*").alias("n"), F.count(F.when(F.col("y") == F.col("p"), 1)).alias("hits")) \
+        .groupBy("classifier").agg((F.sum("hits") > F.max("n")).alias("beats_majority"))
+    return preds.join(labels, "p", "left").join(bounded(share), "classifier").select(
+        "classifier", "doc_id", "y", F.coalesce("_known", F.lit(False)).alias("p_known"), "beats_majority")
+
+
 def _classifier(name: str, k: int) -> None:
     def run(spark, sf):
-        return X.holdout_run(holdout_corpus(spark, sf), (name,), k).select("doc_id", "y", "p")
+        held = holdout_corpus(spark, sf)
+        preds = materialize(X.holdout_run(held, (name,), k))
+        return verdicts(preds, held.part("train")[1]).drop("classifier")
     QUERIES[f"classify_{ {'LR': 'lr', 'SVM': 'svm', 'DT': 'tree', 'RF': 'forest'}[name] }"] = run
 
 
@@ -752,9 +766,9 @@ for _name in ("LR", "SVM", "DT", "RF"):
 
 @query
 def classify_all(spark, sf):
-    """Confusion counts of all six classifiers on the 490 best terms."""
-    preds = X.holdout_run(holdout_corpus(spark, sf), CLASSIFIERS, 490)
-    return metrics.confusion_matrix(preds, ("classifier",))
+    """All six classifiers on the 490 best terms."""
+    held = holdout_corpus(spark, sf)
+    return verdicts(materialize(X.holdout_run(held, CLASSIFIERS, 490)), held.part("train")[1])
 
 
 @query
