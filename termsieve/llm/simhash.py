@@ -141,6 +141,8 @@ def meeting_variants(fps: DataFrame, n: int, radius: int = RADIUS, block: int =
             owners.append(part[row])
         return pa.table({"variant": np.concatenate(variants).view(np.int64), "fp": np.concatenate(owners).view(np.int64)})
 
+    # By number, or Spark would put these few bytes, and with them all the work, into a few tasks.
+    placed = placed.repartition(blocks, "block")
     runs = placed.groupBy("block").applyInArrow(emit, "range int, block int, size int, keys binary")
     hits = runs.groupBy("range").applyInArrow(meet, "block int, hits binary")
     return placed.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(tell, "variant long, fp long")
