@@ -85,11 +85,12 @@ def k_sweep_predictions(corpus: Corpus, n_folds: int, step: int = 10, score: str
         (F.lead("slot", 1).over(path) - 1).alias("_to"))
     spans = sums.groupBy("fold", "doc_id", "slot", F.coalesce("_to", F.lit(last)).alias("_to")).agg(
         F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("at", "a"))).alias("_a"))
-    scored = spans.withColumn("slot", F.explode(F.sequence("slot", "_to"))).join(broadcast_checked(norms), ["fold", "slot"])
+    # The true label is there before the grid is laid out: rows of documents times k stay in their task, where they are counted.
+    labelled = spans.join(corpus.docs.select("doc_id", F.col("label").alias("y")), "doc_id")
+    scored = labelled.withColumn("slot", F.explode(F.sequence("slot", "_to"))).join(broadcast_checked(norms), ["fold", "slot"])
     best = F.array_min(F.zip_with("_m", "_a", lambda m, a: F.struct(
         (-F.round(m["prior"] + a["a"] - F.col("w") * m["norm"], 6)).alias("s"), m["label"].alias("l"))))["l"]
-    return scored.select("fold", "doc_id", (F.col("slot") * step).alias("k"), best.alias("p")) \
-        .join(corpus.docs.select("doc_id", F.col("label").alias("y")), "doc_id")
+    return scored.select("fold", "doc_id", "y", (F.col("slot") * step).alias("k"), best.alias("p"))
 
 
 def k_sweep(corpus: Corpus, n_folds: int, step: int = 10, score: str = "chi2") -> DataFrame:
