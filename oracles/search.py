@@ -130,6 +130,12 @@ SELECT dim, term, CASE WHEN (SELECT sum(score) FROM votes) = 0 AND dim = 0 THEN
   CASE WHEN dim = 0 THEN 1 ELSE 0 END::INT AS score_if_empty FROM votes"""
 SQL["support_mask"] = VOTES + "\nSELECT dim, term FROM votes WHERE score = 1"
 
+# A grey wolf search evaluates its population once per generation, a bee colony twice.
+SQL["search"] = EVAL + """,
+first AS (SELECT run, fold, min(fitness) AS f FROM fit GROUP BY run, fold)
+SELECT method, generation::INT AS generation, run::INT AS run, fold::INT AS fold, round(f, 6) AS first_best, true AS no_worse
+FROM first, (VALUES ('gwo', 0), ('gwo', 1), ('gwo', 2), ('abc', 0), ('abc', 1)) t(method, generation)"""
+
 # ---------------------------------------------------------------- steps
 RANKS = "ranks AS (SELECT run, fold, cid, fitness, row_number() OVER (PARTITION BY run, fold ORDER BY round(fitness, 9), cid) AS rank FROM fit)"
 STEP = EVAL + ",\n" + RANKS + ",\n"

@@ -713,14 +713,18 @@ for _name, _fn in {
 
 @query
 def search(spark, sf):
-    """Best fitness after each generation of a short search by two methods."""
+    """Short searches by two methods: the best fitness at the start, and whether a generation's is no worse than the last one's."""
     c = inner_corpus(spark, sf)
     ev = population.prepare_evaluation(c.weights, c.docs, c.vocab, INNER)
     rows = []
     for method in ("gwo", "abc"):
-        found = wrapper.search(ev, method, SIZE, 3 * SIZE, 1, SEED)
-        rows += [(method, *h) for h in found.history]
-    return spark.createDataFrame(rows, "method string, generation int, run int, fold int, best double")
+        seen = {}
+        for gen, run, fold, best in wrapper.search(ev, method, SIZE, 3 * SIZE, 1, SEED).history:
+            first, last = seen.get((run, fold), (best, best))
+            rows.append((method, gen, run, fold, first, best <= last + 1e-9))
+            seen[run, fold] = first, best
+    return spark.createDataFrame(rows, "method string, generation int, run int, fold int, first_best double, no_worse boolean") \
+        .withColumn("first_best", F.round("first_best", 6))
 
 
 @query
