@@ -78,19 +78,34 @@ def card(found: re.Match, key: bytes) -> str | None:
     return _filled(text, d[0] + body + luhn_digit(d[0] + body))
 
 
-def phone(found: re.Match, key: bytes) -> str | None:
-    """North American number: area and exchange start with 2 to 9. The country code stays."""
+def phone(found: re.Match, key: bytes) -> str:
+    """North American number; the country code stays.
+
+    Numbers that can be assigned, whose area and exchange start with 2 to 9, are permuted among themselves, and
+    so are all others of the same writing.
+    """
     text = found[0]
     d = _digits(text)
     country, d = d[:-10], d[-10:]
     if d[0] < "2" or d[3] < "2":
-        return None
+        return _filled(text, country + _unassigned(d, key))
     rank = (int(d[:3]) - 200) * 8_000_000 + (int(d[3:6]) - 200) * 10_000 + int(d[6:])
     rank = permute(rank, 800 * 8_000_000, key, "phone")
     area, rest = divmod(rank, 8_000_000)
     return _filled(text, f"{country}{area + 200}{rest // 10_000 + 200}{rest % 10_000:04d}")
 
 
+def _unassigned(d: str, key: bytes) -> str:
+    """Ten digits whose area or exchange starts with 0 or 1: first all with such an area, then the rest."""
+    area, rest, low = int(d[:3]), int(d[3:]), 200 * 10_000_000
+    rank = area * 10_000_000 + rest if area < 200 else low + (area - 200) * 2_000_000 + rest
+    rank = permute(rank, low + 800 * 2_000_000, key, "phone-unassigned")
+    if rank < low:
+        return f"{rank:010d}"
+    area, rest = divmod(rank - low, 2_000_000)
+    return f"{area + 200}{rest:07d}"
+
+
 def international(found: re.Match, key: bytes) -> str | None:
     """Other number with a country code: its first two digits stay."""
     text = found[0]
