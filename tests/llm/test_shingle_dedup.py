@@ -1,0 +1,59 @@
+"""The near-duplicates stage against brute force over 5-word shingles."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from termsieve.llm import shingle_dedup, simhash, workers_import
+from tests.conftest import SF
+from tests.llm.test_graphs import smallest_reachable, words_of
+
+
+@pytest.fixture(scope="module", autouse=True)
+def importable(spark):
+    workers_import(spark)
+
+
+def shingle_set(text):
+    w = words_of((text or "").lower())
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else {text}
+
+
+def brute_keep(rows):
+    """Ids of rows (doc_id, text) that stay."""
+    sets = [shingle_set(t) for _, t in rows]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    places = smallest_reachable(list(range(len(rows))), near)
+    return sorted(min(rows[j][0] for j in range(len(rows)) if places[j] == g) for g in set(places))
+
+
+def test_stage_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == brute_keep([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_near_copies_beyond_four_bits(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        other = list(words)
+        other[30], other[80] = "changed", "twice"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    far = [((simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())) & (1 << 64) - 1).bit_count()
+           for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    assert max(far) > 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == brute_keep(rows) == list(range(0, 80, 2))
+
+
+def test_repeated_ids_are_judged_by_text(spark):
+    rows = [(5, "X one two three four five six"), (5, "Y one two three four nine ten"), (3, "Y one two three four nine ten"),
+            (None, "Y one two three four nine ten"), (7, None), (8, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shingle_dedup.keep_first(docs).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted(
+        [(0, rows[3][1]), (3, rows[2][1]), (5, rows[0][1]), (7, "")])
+    assert shingle_dedup.keep_first(docs.limit(0)).count() == 0
