@@ -198,30 +198,49 @@ class Format:
     name: str
     pattern: str
     pseudonym: Callable[[re.Match, bytes], str | None]
+    # A refused match is tried again without its last groups, down to so many letters and digits; 0: not at all.
+    least: int = 0
 
 
 # In order of preference where two start at the same place.
 FORMATS = [
     Format("mail", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![\w-])", mail),
-    Format("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", iban),
+    Format("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", iban, 15),
     Format("phone", r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])", phone),
     Format("phone", r"(?<![\w+])\+1[0-9]{10}(?!\w)", phone),
     Format("phone", r"(?<![\w+])\+[2-9][0-9](?:[ ./-]?[0-9]){6,13}(?!\w)", international),
     Format("social", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", social),
     Format("date", r"(?<![\w./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-])", date),
     Format("address", r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])", address),
-    Format("card", r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", card),
+    Format("card", r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?:(?![\w-])|(?=-[0-9]))", card, 13),
 ]
 KINDS = sorted({f.name for f in FORMATS})
 _ANY = re.compile("|".join(f"(?P<_{i}>{f.pattern})" for i, f in enumerate(FORMATS)))
 _SINGLE = [re.compile(f.pattern) for f in FORMATS]
 _HINT = re.compile(r"[0-9@]")
+_SHORTER = re.compile(r".+")
+
+
+def _accepted(i: int, text: str, start: int, key: bytes) -> tuple[str, int] | None:
+    """Pseudonym and end of what format `i` takes at `start`: its whole match, else the longest shorter one that
+    ends where a separator follows."""
+    match = _SINGLE[i].match(text, start)
+    new = FORMATS[i].pseudonym(match, key) if match else None
+    if new is not None or not match or not FORMATS[i].least:
+        return None if new is None else (new, match.end())
+    for end in range(match.end() - 1, start, -1):
+        if text[end] in " -" and sum(c.isalnum() for c in text[start:end]) >= FORMATS[i].least:
+            new = FORMATS[i].pseudonym(_SHORTER.fullmatch(text, start, end), key)
+            if new is not None:
+                return new, end
+    return None
 
 
 def pseudonymized(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each in the new text, in code points.
 
-    What one format's validation refuses is offered to the others at the same place.
+    What one format's validation refuses is offered to the others at the same place; cards and bank accounts
+    are first tried without the groups that follow them.
     """
     if not _HINT.search(text):
         return text, []
@@ -231,15 +250,15 @@ def pseudonymized(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]
         start, first = found.start(), int(found.lastgroup[1:])
         where = start + 1
         for i in range(first, len(FORMATS)):
-            match = _SINGLE[i].match(text, start)
-            new = FORMATS[i].pseudonym(match, key) if match else None
-            if new is None:
+            taken = _accepted(i, text, start, key)
+            if taken is None:
                 continue
+            new, end = taken
             out += [text[at:start], new]
             length += start - at
             spans.append((FORMATS[i].name, length, length + len(new)))
             length += len(new)
-            at = where = match.end()
+            at = where = end
             break
         else:
             # No format accepts it; a run of digits is not tried again from within.

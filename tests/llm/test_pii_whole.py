@@ -25,3 +25,13 @@ def test_unassigned_phones_keep_apart():
     numbers = {f"{a:03d}{e:03d}{n:04d}" for a in (0, 199, 200, 999) for e in (0, 199) for n in range(50)}
     new = {pii._unassigned(d, KEY) for d in numbers}
     assert len(new) == len(numbers) and all(len(d) == 10 and (d[0] < "2" or d[3] < "2") for d in new)
+
+
+@pytest.mark.parametrize("value, tail", [("4111 1111 1111 1111", " 123"), ("4111111111111111", " 12/26"), ("4111-1111-1111-1111", "-123"),
+                                         ("4111-1111-1111-1111", "-12345"), ("4111 1111 1111 1111", " 12 26 123"), ("378282246310005", " 1234"),
+                                         ("DE89370400440532013000", " 2024"), ("BE68 5390 0754 7034", " EUR"), ("DE89 3704 0044 0532 0130 00", " 12")])
+def test_digits_after_a_card_or_account(value, tail):
+    alone = pii.pseudonymized(value, KEY)[0]
+    out, spans = pii.pseudonymized(f"pay {value}{tail}, ok", KEY)
+    kind = "iban" if value[0].isalpha() else "card"
+    assert alone != value and out == f"pay {alone}{tail}, ok" and spans == [(kind, 4, 4 + len(value))]
