@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
-# Documents below this mean log ratio are unlike the trusted ones.
-THRESHOLD = -0.2
+# Documents below this mean log ratio are unlike the trusted ones; set from labelled rows of both classes.
+THRESHOLD = -0.1
 # The trusted multinomial is fitted on at most so many labelled documents, the first by hash of their id.
 TRUSTED_ROWS = 50_000
 WINDOW = 5
