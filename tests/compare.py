@@ -37,6 +37,8 @@ def differences(got: pd.DataFrame, want: pd.DataFrame) -> str:
         return f"rows {len(got)} vs {len(want)}"
     got, want = canonical(got), canonical(want)
     for c in got.columns:
+        if got[c].isna().any() and {got[c].dtype.kind, want[c].dtype.kind} == {"f", "i"}:  # whole numbers with nulls
+            got[c], want[c] = got[c].astype("Float64"), want[c].astype("Float64")
         if len(got) and got[c].dtype != want[c].dtype:
             return f"type of {c}: {got[c].dtype} vs {want[c].dtype}"
         same = (got[c] == want[c]) | (got[c].isna() & want[c].isna())
