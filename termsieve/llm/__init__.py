@@ -7,11 +7,11 @@ import functools
 import os
 from pathlib import Path
 
-from . import (canonical_license, chat, embedding_dedup, mixing, packing, pii, quality, simhash, substring_dedup,
-               url_filter)
+from . import (canonical_license, chat, compression, embedding_dedup, fill_in_middle, merkle, mixing, packing, pii, quality, simhash,
+               substring_dedup, url_filter)
 
 _MODULES = (substring_dedup, quality, simhash, url_filter, canonical_license, pii, embedding_dedup, packing, chat,
-            mixing)
+            mixing, merkle, fill_in_middle, compression)
 
 
 def workers_import(spark) -> None:
