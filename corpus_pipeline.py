@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from termsieve.llm import mixing, packing, pii, quality, shingle_dedup, workers_import
+from termsieve.llm import mixing, packing, pii, quality, simhash, workers_import
 from termsieve.runtime import materialize
 
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of near-copies: 5-word Jaccard similarity of 0.8 or more."""
-    return shingle_dedup.keep_first(docs)
+    """One document stays of each group whose fingerprints of 4-word shingles are linked within 4 bits."""
+    return simhash.keep_first(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
