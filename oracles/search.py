@@ -32,7 +32,7 @@ CIDS = f"cids AS (SELECT unnest(range({NP})) AS cid)"
 def population(runs: int) -> str:
     return f"""dims AS (SELECT idx AS dim, term FROM vocab UNION ALL SELECT count(*), NULL FROM vocab),
 {CIDS},
-pop AS (SELECT r.run, f.fold, c.cid, d.dim, d.term, {u(f'r.run + {SEED + 1}', 'c.cid', 'd.dim')} AS x
+pop AS MATERIALIZED (SELECT r.run, f.fold, c.cid, d.dim, d.term, {u(f'r.run + {SEED + 1}', 'c.cid', 'd.dim')} AS x
   FROM dims d, cids c, (SELECT unnest(range({runs})) AS run) r, (SELECT unnest(range(2)) AS fold) f)"""
 
 
@@ -41,8 +41,10 @@ INIT = ["WITH " + TFIDF]
 
 
 def masks(pop: str, name: str) -> str:
-    return f"""{name} AS (SELECT g.run, g.fold, g.cid, g.dim, g.term, g.x >= t.x AS keep
-  FROM {pop} g JOIN {pop} t USING (run, fold, cid) WHERE g.term IS NOT NULL AND t.term IS NULL)"""
+    # The few threshold rows are picked first: a join of the population with itself is filtered too late without an optimizer.
+    return f"""{name}_cut AS MATERIALIZED (SELECT run, fold, cid, x AS cut FROM {pop} WHERE term IS NULL),
+{name} AS (SELECT g.run, g.fold, g.cid, g.dim, g.term, g.x >= t.cut AS keep
+  FROM {pop} g JOIN {name}_cut t USING (run, fold, cid) WHERE g.term IS NOT NULL)"""
 
 
 BASE = "WITH " + TFIDF + ",\n"
