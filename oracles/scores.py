@@ -271,3 +271,7 @@ for _name in ("lr", "svm", "tree", "forest"):
     SQL[f"classify_{_name}"] = "WITH " + _JUDGED
 SQL["classify_all"] = "WITH " + _JUDGED.replace("SELECT doc_id, label AS y", "SELECT classifier, doc_id, label AS y").replace(
     "FROM docs", "FROM docs, (SELECT unnest(['LR', 'SVM', 'NB', 'MNB', 'DT', 'RF']) AS classifier)")
+
+# The intercepts of logistic regression are not penalised: at the optimum the probabilities of a class sum to its size.
+SQL["lr_class_totals"] = "WITH " + ",\n".join([DOCS, WORDS, vocabulary(5), WEIGHTS, folds(5, SHUFFLED), FOLDS, BY_FOLD]) + """
+SELECT fold::INT AS fold, label, n_label::BIGINT AS n_train, round(n_label::DOUBLE, 1) AS expected FROM classes"""

@@ -1,26 +1,23 @@
 """Classifiers of the experiment grid over sparse document vectors.
 
-MNB and NB are the relational models of `bayes`. LR, SVM, DT and RF are Spark ML
-estimators; the driver holds their model, a value per feature and class (LR) or pair of
-classes (SVM), so its memory has to be sized for that, or features selected first.
+MNB and NB are the relational models of `bayes`, LR and SVM those of `linear`. DT and RF
+are Spark ML estimators; the driver holds their trees, so its memory has to be sized for that.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from itertools import combinations
 
-from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import bounded
-from . import bayes
+from . import bayes, linear
 from .sample import label_codes
 from .vectorize import Vocabulary, to_vectors
 
 CLASSIFIERS = ("LR", "SVM", "NB", "MNB", "DT", "RF")
-ML_CLASSIFIERS = ("LR", "SVM", "DT", "RF")
+LINEAR_CLASSIFIERS, ML_CLASSIFIERS = ("LR", "SVM"), ("DT", "RF")
 PARALLEL_FITS = 4
 # Iterative fits run one job per iteration; tasks with fewer documents than this cost more than they do.
 DOCS_PER_TASK = 2_000
@@ -42,12 +39,6 @@ def packed(train: DataFrame, n: int) -> DataFrame:
     return train.coalesce(max(1, n // DOCS_PER_TASK))
 
 
-def fit_lr(train: DataFrame, n: int, seed: int, n_classes: int):
-    """Multinomial logistic regression with squared penalty; C = 1 means 1 / n per document."""
-    return LogisticRegression(maxIter=1000, family="multinomial", standardization=False, regParam=1.0 / n,
-                              tol=1e-6, **_columns("_p")).fit(packed(train, n))
-
-
 def fit_tree(train: DataFrame, n: int, seed: int, n_classes: int):
     return DecisionTreeClassifier(impurity="gini", maxDepth=30, seed=seed, **_columns("_p")).fit(packed(train, n))
 
@@ -56,44 +47,12 @@ def fit_forest(train: DataFrame, n: int, seed: int, n_classes: int):
     return RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed, **_columns("_p")).fit(packed(train, n))
 
 
-def predict_svm(train: DataFrame, test: DataFrame, n_classes: int) -> DataFrame:
-    """Linear SVM per pair of classes; the class with most votes wins, the smaller on ties."""
-    sizes = {int(r["label_idx"]): r["count"] for r in train.groupBy("label_idx").count().collect()}
-    pairs = [p for p in combinations(range(n_classes), 2) if p[0] in sizes and p[1] in sizes]
-
-    def fit(pair):
-        a, b = pair
-        rows = train.where(F.col("label_idx").isin(float(a), float(b))) \
-            .withColumn("label_idx", (F.col("label_idx") == float(b)).cast("double"))
-        n = sizes[a] + sizes[b]
-        svm = LinearSVC(maxIter=200, regParam=1.0 / n, standardization=False, tol=1e-4,
-                        rawPredictionCol=f"_r{a}_{b}", **_columns(f"_v{a}_{b}"))
-        return svm.fit(packed(rows, n))
-
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        models = list(pool.map(fit, pairs))
-    scored = test
-    for (a, b), model in zip(pairs, models):
-        scored = model.transform(scored).drop(f"_r{a}_{b}")
-    votes = []
-    for c in range(n_classes):
-        wins = [F.when(F.col(f"_v{a}_{b}") == float(c == b), 1).otherwise(0) for a, b in pairs if c in (a, b)]
-        votes.append(F.struct((-sum(wins, F.lit(0))).alias("v"), F.lit(c).alias("c")))
-    only = next(iter(sizes), 0)
-    winner = F.array_min(F.array(*votes))["c"] if pairs else F.lit(only)
-    return scored.select("doc_id", "label", winner.cast("double").alias("_p"))
-
-
-_FITS = {"LR": fit_lr, "DT": fit_tree, "RF": fit_forest}
+_FITS = {"DT": fit_tree, "RF": fit_forest}
 
 
 def predict_ml(name: str, train: DataFrame, test: DataFrame, codes: DataFrame, seed: int = 123) -> DataFrame:
     """(doc_id, y, p) of one ML classifier on vector relations."""
-    n_classes = codes.count()
-    if name == "SVM":
-        raw = predict_svm(train, test, n_classes)
-    else:
-        raw = _FITS[name](train, train.count(), seed, n_classes).transform(test).select("doc_id", "label", "_p")
+    raw = _FITS[name](train, train.count(), seed, codes.count()).transform(test).select("doc_id", "label", "_p")
     back = codes.select(F.col("label_idx").cast("double").alias("_p"), F.col("label").alias("p"))
     return raw.join(back, "_p").select("doc_id", F.col("label").alias("y"), "p")
 
@@ -112,6 +71,12 @@ def classify_all(train: DataFrame, train_docs: DataFrame, test: DataFrame, test_
         runs["MNB"] = bayes.classify_multinomial_nb(train, train_docs, test, test_docs, vocab).drop("fold")
     if "NB" in classifiers:
         runs["NB"] = bayes.classify_gaussian_nb(train, train_docs, test, test_docs, vocab).drop("fold")
+    for name in classifiers:
+        if name in LINEAR_CLASSIFIERS:
+            # The test documents are the fold that the only training set leaves out.
+            both = [a.select(*names, F.lit(1).alias("fold")).unionByName(b.select(*names, F.lit(0).alias("fold")))
+                    for a, b, names in ((train, test, ("doc_id", "term", "w")), (train_docs, test_docs, ("doc_id", "label")))]
+            runs[name] = linear.classify_linear(name, *both, vocab, 1).drop("fold")
     wanted = [c for c in classifiers if c in ML_CLASSIFIERS]
     if wanted:
         codes = bounded(label_codes(train_docs))
@@ -127,13 +92,15 @@ def classify_all(train: DataFrame, train_docs: DataFrame, test: DataFrame, test_
 
 
 def evaluate_with_classifier(name: str, seed: int = 123):
-    """Fitness function for `search` that fits the named classifier once per candidate.
+    """Fitness function for `search` with the named classifier.
 
-    One ML job per candidate, run and fold, a few at a time; the relational evaluators
-    score all candidates in one job and suit larger populations.
+    LR and SVM solve all candidates together. DT and RF take one ML job per candidate, run and fold, a few at a time.
     """
     from .metrics import f1_weighted
 
+    if name in LINEAR_CLASSIFIERS:
+        return linear.evaluate_with_linear(name)
+
     def evaluate(ev, masks: DataFrame, size: int, n_runs: int = 1) -> DataFrame:
         labelled = ev.weights.join(ev.docs.select("doc_id", "label"), "doc_id")
         jobs = [(r, f, c) for r in range(n_runs) for f in range(ev.n_folds) for c in range(size)]

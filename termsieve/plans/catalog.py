@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import clean as C
-from ..operators import bayes, filters, metrics, population, sample, split, steps, vectorize
-from ..operators.classify import CLASSIFIERS
+from ..operators import bayes, filters, linear, metrics, population, sample, split, steps, vectorize
+from ..operators.classify import CLASSIFIERS, LINEAR_CLASSIFIERS
 from ..runtime import bounded, materialize, scratch_root
 from ..sources import tables as T
 from . import experiments as X
@@ -430,11 +430,46 @@ def baseline_all_features(spark, sf):
     return X.baseline_all_features(c, N_FOLDS).select("classifier", *r6("avg_accuracy"))
 
 
+@query
+def baseline_linear(spark, sf):
+    """Logistic regression and linear SVM over folds with every feature."""
+    c = fold_corpus(spark, sf)
+    return X.baseline_all_features(c, N_FOLDS, LINEAR_CLASSIFIERS).select("classifier", *r6("avg_accuracy"))
+
+
+@query
+def filter_over_folds_linear(spark, sf):
+    """Each fold with the 490 best terms of its training set, by logistic regression and by linear SVM."""
+    c = fold_corpus(spark, sf, SEED, min_df=5)
+    runs = [X.filter_over_folds(c, N_FOLDS, 490, classifier=name).withColumn("classifier", F.lit(name)) for name in LINEAR_CLASSIFIERS]
+    return runs[0].unionByName(runs[1]).select("classifier", "fold", *r6("accuracy", "f1_macro", "f1_micro", "f1_weighted"))
+
+
+@query
+def lr_class_totals(spark, sf):
+    """Per training set and class, its documents and the sum of their probabilities: equal at the optimum of the intercepts."""
+    c = fold_corpus(spark, sf, SEED, min_df=5)
+    selected = materialize(filters.select_k_best(filters.chi2_scores(c.weights, c.docs, N_FOLDS), 490))
+    design = linear.prepare_design(c.weights, c.docs, c.vocab.restrict(selected))
+    fitted = linear.fit_linear(design, list(range(N_FOLDS)), masks=selected.select("term", F.col("fold").alias("set")))
+    totals = linear.intercept_slopes(design, fitted).withColumnRenamed("set", "fold")
+    return filters.class_table(c.docs, N_FOLDS).join(totals, ["fold", "label"]).select(
+        "fold", "label", F.col("n_label").cast("long").alias("n_train"), F.round(F.col("n_label") + F.col("slope"), 1).alias("expected"))
+
+
+@query
+def evaluate_population_lr(spark, sf):
+    """Fitness of the first population with logistic regression as evaluator: all candidates in one solve."""
+    ev, pop = start(inner_corpus(spark, sf))
+    found = linear.evaluate_with_linear("LR")(ev, population.decode_mask(pop), SIZE)
+    return found.select("run", "fold", "cid", *r6("fitness"))
+
+
 # ---------------------------------------------------------------- metrics
 
 def fold_predictions(spark, sf):
     """Cross-validated predictions of the multinomial model."""
-    return X.bayes_over_folds(fold_corpus(spark, sf), "MNB", N_FOLDS)
+    return X.classify_over_folds(fold_corpus(spark, sf), "MNB", N_FOLDS)
 
 
 @query

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..operators.bayes import classify_gaussian_nb, classify_multinomial_nb
-from ..operators.classify import CLASSIFIERS, classify_all
+from ..operators.classify import CLASSIFIERS, LINEAR_CLASSIFIERS, classify_all
 from ..operators.filters import (apply_selection, chi2_scores, class_table, mutual_info_presence, rank_terms,
                                  select_k_best, term_class_sums)
+from ..operators.linear import classify_linear
 from ..operators.metrics import accuracy, all_scores, fold_average, method_comparison
 from ..operators.split import stratified_folds
 from ..operators.vectorize import join_on_term
@@ -24,15 +25,17 @@ def with_folds(docs: DataFrame, k: int = 5, seed: int | None = None) -> DataFram
     return docs.join(folds, "doc_id")
 
 
-def bayes_over_folds(corpus: Corpus, classifier: str, n_folds: int) -> DataFrame:
+def classify_over_folds(corpus: Corpus, classifier: str, n_folds: int) -> DataFrame:
     """(classifier, fold, doc_id, y, p): every document scored by the model of the other folds."""
+    if classifier in LINEAR_CLASSIFIERS:
+        return classify_linear(classifier, corpus.weights, corpus.docs, corpus.vocab, n_folds).withColumn("classifier", F.lit(classifier))
     preds = BAYES[classifier](corpus.weights, corpus.docs, corpus.weights, corpus.docs, corpus.vocab, n_folds)
     return preds.withColumn("classifier", F.lit(classifier))
 
 
 def baseline_all_features(corpus: Corpus, n_folds: int = 5, classifiers: tuple[str, ...] = ("MNB", "NB")) -> DataFrame:
     """(classifier, avg_accuracy) over folds with every feature."""
-    runs = [bayes_over_folds(corpus, c, n_folds) for c in classifiers]
+    runs = [classify_over_folds(corpus, c, n_folds) for c in classifiers]
     preds = runs[0]
     for run in runs[1:]:
         preds = preds.unionByName(run)
@@ -112,12 +115,15 @@ def holdout_bayes(corpus: Corpus, classifier: str = "MNB", k: int | None = None,
     return BAYES[classifier](train, train_docs, test, test_docs, vocab).drop("fold")
 
 
-def filter_over_folds(corpus: Corpus, n_folds: int, k: int, score: str = "chi2") -> DataFrame:
+def filter_over_folds(corpus: Corpus, n_folds: int, k: int, score: str = "chi2", classifier: str = "MNB") -> DataFrame:
     """Accuracy and F1 averages per fold, each fold with the k best terms of its training set."""
     k = min(k, corpus.vocab.n_terms)
     selected = select_k_best(SCORES[score](corpus.weights, corpus.docs, n_folds), k)
-    preds = classify_multinomial_nb(corpus.weights, corpus.docs, corpus.weights, corpus.docs, corpus.vocab,
-                                    n_folds, selected, k)
+    if classifier in LINEAR_CLASSIFIERS:
+        preds = classify_linear(classifier, corpus.weights, corpus.docs, corpus.vocab, n_folds, materialize(selected))
+    else:
+        preds = classify_multinomial_nb(corpus.weights, corpus.docs, corpus.weights, corpus.docs, corpus.vocab,
+                                        n_folds, selected, k)
     return all_scores(preds, ("fold",))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termsieve.operators import classify, filters, metrics, population, sample, split, steps, vectorize
+from termsieve.operators import classify, filters, linear, metrics, population, sample, split, steps, vectorize
 from termsieve.plans import wrapper
 from termsieve.plans.corpus import build_corpus
 from termsieve.runtime import ranked
@@ -77,9 +77,9 @@ def test_selection_keeps_weights(corpus):
 
 
 def test_every_document_is_predicted(corpus, docs):
-    for name in ("MNB", "NB"):
-        from termsieve.plans.experiments import bayes_over_folds
-        preds = bayes_over_folds(corpus, name, 3)
+    for name in ("MNB", "NB", "LR", "SVM"):
+        from termsieve.plans.experiments import classify_over_folds
+        preds = classify_over_folds(corpus, name, 3)
         assert preds.count() == docs.count() and preds.where("p is null").count() == 0
         micro = {r["fold"]: r["f1_micro"] for r in metrics.f1_micro(preds, ("fold",)).collect()}
         acc = {r["fold"]: r["accuracy"] for r in metrics.accuracy(preds, ("fold",)).collect()}
@@ -169,18 +169,17 @@ def test_search_never_gets_worse(corpus, method):
 
 # ---------------------------------------------------------------- ML classifiers
 
-def test_logistic_regression_meets_its_optimum(corpus, spark):
-    codes = sample.label_codes(corpus.docs)
-    train = classify.vectors(corpus.weights, corpus.docs, corpus.vocab, codes)
-    n = train.count()
-    model = classify.fit_lr(train, n, 0, 3)
-    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    rows = train.collect()
-    x = np.array([r["features"].toArray() for r in rows])
-    y = np.array([int(r["label_idx"]) for r in rows])
-    p = np.exp(x @ w.T + b)
+def test_logistic_regression_meets_its_optimum(corpus):
+    docs, weights = (df.withColumn("fold", F.lit(1)) for df in (corpus.docs.drop("fold"), corpus.weights.drop("fold")))
+    design = linear.prepare_design(weights, docs, corpus.vocab)
+    model = linear.weight_rows(design, linear.fit_linear(design, [0])).toPandas()
+    w = model.pivot(index="term", columns="column", values="x")
+    x = weights.select("doc_id", "term", "w").toPandas().pivot(index="doc_id", columns="term", values="w").fillna(0.0)
+    y = docs.join(design.codes, "label").toPandas().set_index("doc_id")["label_idx"]
+    x = x.reindex(index=y.index, columns=w.index.dropna()).fillna(0.0).to_numpy()
+    p = np.exp(x @ w[w.index.notna()].to_numpy() + w[w.index.isna()].to_numpy())
     p /= p.sum(1, keepdims=True)
-    gradient = (p - np.eye(3)[y]).T @ x + w
+    gradient = (p - np.eye(3)[y]).T @ x + w[w.index.notna()].to_numpy().T
     assert np.abs(gradient).max() < 1e-2
 
 
