@@ -5,8 +5,8 @@ Equal windows have the same anchor, the smallest hash of their word n-grams. So
 document only are put aside; stretches of windows under the others are sent to shards by anchor. A shard indexes
 its distinct stretches once and streams them through backward search; every window found leads to the smallest
 document that holds it. Copies are one stretch. An anchor with very many different stretches, such as a common
-passage in ever new surroundings, is first narrowed to windows that repeat, which go to shards one by one; so no
-anchor gathers much in one shard.
+passage in ever new surroundings, is first narrowed to windows that repeat; runs of these go to shards by anchor and a
+second, independent anchor, so no key gathers much in one shard and rows stay far fewer than windows.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from ..runtime import materialize
 from .fm_index import FMIndex, matches
 
 WINDOW = 50
-# The stretches of an anchor of more documents than this are counted; if more than this differ, the anchor is
-# dealt out window by window.
+# The stretches of an anchor of more documents than this are counted; if more than this differ, only its repeated
+# windows are dealt out, by a second anchor.
 HOT = 500
 # Words of the flagged documents for each shard; windows of a stretch.
 SHARD_WORDS, STRETCH = 500_000, 64
@@ -104,6 +104,11 @@ def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
     return low.view(np.int64)
 
 
+def second_anchors(hashes: np.ndarray, window: int) -> np.ndarray:
+    """For each window an anchor that is chosen independently of the first."""
+    return anchors(_mixed(hashes ^ _INVERSE), window)
+
+
 def _cut(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of equal values."""
     at = np.flatnonzero(values[1:] != values[:-1]) + 1
@@ -183,7 +188,7 @@ def _hot_rows(window: int):
 
 
 def _stretches(window: int):
-    """Stretches of windows under shared anchors, and repeated windows under hot ones.
+    """Stretches of windows under shared anchors, and runs of repeated windows under hot ones.
 
     The words of a stretch are sent once per task, and again only from a smaller document.
     """
@@ -199,8 +204,11 @@ def _stretches(window: int):
                 pieces = [(s, e, route[s]) for s, e in _pieces(route) if route[s] in shared]
                 if windows:
                     whole, wild = grams(hashes, window).view(np.int64), np.array([*({*hot} - shared)], np.int64)
-                    single = np.flatnonzero(np.isin(whole, np.array(windows, np.int64)) & np.isin(route, wild))
-                    pieces += [(s, s + 1, whole[s]) for s in single.tolist()]
+                    twice = np.isin(whole, np.array(windows, np.int64)) & np.isin(route, wild)
+                    pair = _mixed(route.view(np.uint64) * _MULTIPLIER + second_anchors(hashes, window).view(np.uint64)).view(np.int64)
+                    # Windows with the same words have the same two anchors, so they meet under one key.
+                    runs = np.where(twice, pair, 0)
+                    pieces += [(s, e, pair[s]) for s, e in _pieces(runs) if twice[s]]
                 for s, e, key in pieces:
                     words = text.data[text.starts[s]:text.ends[e + window - 2]]
                     name = xxhash.xxh3_128_digest(words)
@@ -216,7 +224,7 @@ def _stretches(window: int):
 
 
 def _searched(window: int):
-    """One shard: (name, offset, windows, source) for runs of windows of a stretch that first occur in `source`."""
+    """One shard: per stretch, `found` with (offset, windows, source) of its runs of windows that first occur in `source`."""
     def run(table: pa.Table) -> pa.Table:
         least, words = {}, {}
         for name, doc, text in zip(*(table[c].to_pylist() for c in ("name", "doc_id", "words")), strict=True):
@@ -240,9 +248,9 @@ def _searched(window: int):
         names, out = list(words), []
         for i in range(len(names)):
             own = found[windows[i]:windows[i + 1]]
-            out += [(names[i], s, e - s, own[s]) for s, e in zip(*_cut(own), strict=True)]
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["_name", "offset", "windows", "source"])
+            out.append([{"offset": int(s), "windows": int(e - s), "source": int(own[s])} for s, e in zip(*_cut(own), strict=True)])
+        kind = pa.list_(pa.struct([("offset", pa.int64()), ("windows", pa.int64()), ("source", pa.int64())]))
+        return pa.table([pa.array(names, pa.binary()), pa.array(out, kind)], ["_name", "found"])
     return run
 
 
@@ -308,15 +316,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
     decided = materialize(tame.union(repeated).groupBy(F.col("row").alias("_row")).agg(
         F.collect_set("tame").alias("tame"), F.collect_set("window").alias("windows")))
     ready = flagged.join(decided, F.col("row") == F.col("_row"), "left").select("doc_id", "row", "size", "zip", "keys", "hot", "tame", "windows")
-    stretches = ready.mapInArrow(_stretches(window), "name binary, key long, doc_id long, row long, at long, words binary")
+    stretches = materialize(ready.mapInArrow(_stretches(window), "name binary, key long, doc_id long, row long, at long, words binary"))
     total = flagged.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
+    # By number, or Spark would put several shards into one task.
     searched = materialize(stretches.where("words IS NOT NULL").select(
-        F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "name", "doc_id", "words").groupBy("shard")
-        .applyInArrow(_searched(window), "_name binary, offset long, windows long, source long"))
-    places = materialize(stretches.select("name", "doc_id", "row", "at"))
-    spans = places.join(searched, F.col("name") == F.col("_name")).where("source < doc_id").groupBy("row").agg(
-        F.collect_list(F.struct((F.col("at") + F.col("offset")).alias("at"), "windows")).alias("spans")).withColumnRenamed("row", "_row")
+        F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "name", "doc_id", "words").repartition(shards, "shard").groupBy("shard")
+        .applyInArrow(_searched(window), "_name binary, found array<struct<offset:bigint,windows:bigint,source:bigint>>"))
+    places = stretches.select("name", "doc_id", "row", "at")
+    earlier = F.transform(F.filter("found", lambda f: f["source"] < F.col("doc_id")),
+                          lambda f: F.struct((F.col("at") + f["offset"]).alias("at"), f["windows"].alias("windows")))
+    spans = places.join(searched, F.col("name") == F.col("_name")).select("row", earlier.alias("spans")).where("size(spans) > 0") \
+        .groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")).withColumnRenamed("row", "_row")
     finished = flagged.select("row", "doc_id", "n_words", "size", "zip").join(materialize(spans), F.col("row") == F.col("_row"), "left") \
         .select("doc_id", "n_words", "size", "zip", "spans")
     kind = "array<struct<start:bigint,end:bigint>>"
