@@ -275,3 +275,26 @@ SQL["classify_all"] = "WITH " + _JUDGED.replace("SELECT doc_id, label AS y", "SE
 # The intercepts of logistic regression are not penalised: at the optimum the probabilities of a class sum to its size.
 SQL["lr_class_totals"] = "WITH " + ",\n".join([DOCS, WORDS, vocabulary(5), WEIGHTS, folds(5, SHUFFLED), FOLDS, BY_FOLD]) + """
 SELECT fold::INT AS fold, label, n_label::BIGINT AS n_train, round(n_label::DOUBLE, 1) AS expected FROM classes"""
+
+
+def _tree_level(d: int) -> str:
+    """Best split of every node of level `d`, by every value of every term, and the documents of the next level."""
+    return f"""tot{d} AS (SELECT node, label, count(*) AS n FROM lv{d} GROUP BY ALL),
+cel{d} AS MATERIALIZED (SELECT node, term, v, label, count(*) AS n FROM lv{d} JOIN values_of USING (doc_id) GROUP BY ALL),
+val{d} AS (SELECT DISTINCT node, term, v FROM cel{d}),
+run{d} AS (SELECT a.node, a.term, a.v, t.n AS total,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY a.node, a.term, t.label ORDER BY a.v DESC) AS r
+  FROM val{d} a JOIN tot{d} t ON a.node = t.node LEFT JOIN cel{d} c ON c.node = a.node AND c.term = a.term AND c.v = a.v AND c.label = t.label),
+sco{d} AS (SELECT node, term, v, round(sum(r * r)::DOUBLE / sum(r) + sum((total - r) * (total - r))::DOUBLE / nullif(sum(total - r), 0), 6) AS score,
+    sum(total * total)::DOUBLE / sum(total) AS before, sum(total) AS n_docs FROM run{d} GROUP BY node, term, v),
+low{d} AS (SELECT *, (v + coalesce(lead(v) OVER (PARTITION BY node, term ORDER BY v DESC), 0)) / 2 AS threshold FROM sco{d}),
+bes{d} AS MATERIALIZED (SELECT node, n_docs::BIGINT AS n_docs, term, threshold, score FROM low{d} WHERE score > before + 1e-6
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, term, v DESC) = 1),
+lv{d + 1} AS (SELECT l.doc_id, l.label, l.node || CASE WHEN x.v > b.threshold THEN 'r' ELSE 'l' END AS node
+  FROM lv{d} l JOIN bes{d} b ON l.node = b.node LEFT JOIN values_of x ON x.doc_id = l.doc_id AND x.term = b.term)"""
+
+
+SQL["tree_splits"] = "WITH " + ",\n".join([
+    *HOLD, "values_of AS MATERIALIZED (SELECT doc_id, term, round(w, 6) AS v FROM weights WHERE round(w, 6) > 0)",
+    "lv0 AS (SELECT doc_id, label, '' AS node FROM train_docs)", *[_tree_level(d) for d in range(3)]]) + "\n" + " UNION ALL ".join(
+    f"SELECT node, n_docs, term, round(threshold, 7) AS threshold, score FROM bes{d}" for d in range(3))

@@ -1,23 +1,23 @@
 """Classifiers of the experiment grid over sparse document vectors.
 
-MNB and NB are the relational models of `bayes`, LR and SVM those of `linear`. DT and RF
-are Spark ML estimators; the driver holds their trees, so its memory has to be sized for that.
+MNB and NB are the relational models of `bayes`, LR and SVM those of `linear`, DT that of `tree`.
+RF is a Spark ML estimator; the driver holds its trees, so its memory has to be sized for that.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import bounded
-from . import bayes, linear
+from . import bayes, linear, tree
 from .sample import label_codes
 from .vectorize import Vocabulary, to_vectors
 
 CLASSIFIERS = ("LR", "SVM", "NB", "MNB", "DT", "RF")
-LINEAR_CLASSIFIERS, ML_CLASSIFIERS = ("LR", "SVM"), ("DT", "RF")
+LINEAR_CLASSIFIERS, ML_CLASSIFIERS = ("LR", "SVM"), ("RF",)
 PARALLEL_FITS = 4
 # Iterative fits run one job per iteration; tasks with fewer documents than this cost more than they do.
 DOCS_PER_TASK = 2_000
@@ -39,15 +39,11 @@ def packed(train: DataFrame, n: int) -> DataFrame:
     return train.coalesce(max(1, n // DOCS_PER_TASK))
 
 
-def fit_tree(train: DataFrame, n: int, seed: int, n_classes: int):
-    return DecisionTreeClassifier(impurity="gini", maxDepth=30, seed=seed, **_columns("_p")).fit(packed(train, n))
-
-
 def fit_forest(train: DataFrame, n: int, seed: int, n_classes: int):
     return RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed, **_columns("_p")).fit(packed(train, n))
 
 
-_FITS = {"DT": fit_tree, "RF": fit_forest}
+_FITS = {"RF": fit_forest}
 
 
 def predict_ml(name: str, train: DataFrame, test: DataFrame, codes: DataFrame, seed: int = 123) -> DataFrame:
@@ -72,11 +68,11 @@ def classify_all(train: DataFrame, train_docs: DataFrame, test: DataFrame, test_
     if "NB" in classifiers:
         runs["NB"] = bayes.classify_gaussian_nb(train, train_docs, test, test_docs, vocab).drop("fold")
     for name in classifiers:
-        if name in LINEAR_CLASSIFIERS:
+        if name in LINEAR_CLASSIFIERS or name == "DT":
             # The test documents are the fold that the only training set leaves out.
             both = [a.select(*names, F.lit(1).alias("fold")).unionByName(b.select(*names, F.lit(0).alias("fold")))
                     for a, b, names in ((train, test, ("doc_id", "term", "w")), (train_docs, test_docs, ("doc_id", "label")))]
-            runs[name] = linear.classify_linear(name, *both, vocab, 1).drop("fold")
+            runs[name] = (tree.classify_tree(*both, 1) if name == "DT" else linear.classify_linear(name, *both, vocab, 1)).drop("fold")
     wanted = [c for c in classifiers if c in ML_CLASSIFIERS]
     if wanted:
         codes = bounded(label_codes(train_docs))
@@ -94,7 +90,7 @@ def classify_all(train: DataFrame, train_docs: DataFrame, test: DataFrame, test_
 def evaluate_with_classifier(name: str, seed: int = 123):
     """Fitness function for `search` with the named classifier.
 
-    LR and SVM solve all candidates together. DT and RF take one ML job per candidate, run and fold, a few at a time.
+    LR and SVM solve all candidates together. DT and RF are fitted per candidate, run and fold, a few at a time.
     """
     from .metrics import f1_weighted
 

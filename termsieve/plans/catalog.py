@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import clean as C
-from ..operators import bayes, filters, linear, metrics, population, sample, split, steps, vectorize
+from ..operators import bayes, filters, linear, metrics, population, sample, split, steps, tree, vectorize
 from ..operators.classify import CLASSIFIERS, LINEAR_CLASSIFIERS
 from ..runtime import bounded, materialize, scratch_root
 from ..sources import tables as T
@@ -465,6 +465,16 @@ def evaluate_population_lr(spark, sf):
     return found.select("run", "fold", "cid", *r6("fitness"))
 
 
+@query
+def tree_splits(spark, sf):
+    """The first three levels of the decision tree of the hold-out's training documents: each split and its Gini score."""
+    held = holdout_corpus(spark, sf)
+    fold = F.when(F.col("split") == "train", 1).otherwise(0).alias("fold")
+    grown = tree.grow(held.weights.select("*", fold), held.docs.select("*", fold), 1, max_depth=3)
+    size = F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)
+    return grown.nodes.where("term IS NOT NULL").select("node", size.alias("n_docs"), "term", F.round("threshold", 7).alias("threshold"), *r6("score"))
+
+
 # ---------------------------------------------------------------- metrics
 
 def fold_predictions(spark, sf):

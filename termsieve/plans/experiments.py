@@ -12,6 +12,7 @@ from ..operators.filters import (apply_selection, chi2_scores, class_table, mutu
 from ..operators.linear import classify_linear
 from ..operators.metrics import accuracy, all_scores, fold_average, method_comparison
 from ..operators.split import stratified_folds
+from ..operators.tree import classify_tree
 from ..operators.vectorize import join_on_term
 from ..runtime import bounded, broadcast_checked, materialize
 from .corpus import Corpus, build_corpus
@@ -29,6 +30,8 @@ def classify_over_folds(corpus: Corpus, classifier: str, n_folds: int) -> DataFr
     """(classifier, fold, doc_id, y, p): every document scored by the model of the other folds."""
     if classifier in LINEAR_CLASSIFIERS:
         return classify_linear(classifier, corpus.weights, corpus.docs, corpus.vocab, n_folds).withColumn("classifier", F.lit(classifier))
+    if classifier == "DT":
+        return classify_tree(corpus.weights, corpus.docs, n_folds).withColumn("classifier", F.lit(classifier))
     preds = BAYES[classifier](corpus.weights, corpus.docs, corpus.weights, corpus.docs, corpus.vocab, n_folds)
     return preds.withColumn("classifier", F.lit(classifier))
 
