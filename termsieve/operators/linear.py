@@ -355,13 +355,13 @@ class _Recursion:
 
 
 def fit_linear(design: Design, held: list[int], kind: str = "softmax", c: float = 1.0, masks: DataFrame | None = None,
-               tolerance: float | None = None, max_rounds: int = 300, corner: float = CORNER) -> Fitted:
+               tolerance: float | None = None, max_rounds: int = 100, corner: float = CORNER) -> Fitted:
     """Minimise |w|^2 / 2 + c * loss for every training set (all folds but the one of `held`) and class or pair.
 
     `masks` has (term, set) rows of the terms that a training set may use; without it all are used. Solving ends when
-    no gradient entry of any model exceeds `tolerance` (1e-5 for each document, unless given), or after `max_rounds` passes.
+    no gradient entry of any model exceeds `tolerance` (1e-4 for each document, unless given), or after `max_rounds` passes.
     """
-    tolerance = 1e-5 * max(1, design.n_docs) if tolerance is None else tolerance
+    tolerance = 1e-4 * max(1, design.n_docs) if tolerance is None else tolerance
     present = np.array([[any(n for (f, y), n in design.counts.items() if y == k and f != h) for k in range(design.n_classes)] for h in held])
     loss = Loss(kind, list(held), present, c, corner)
     width, model = loss.width, loss.model

@@ -451,7 +451,7 @@ def lr_class_totals(spark, sf):
     c = fold_corpus(spark, sf, SEED, min_df=5)
     selected = materialize(filters.select_k_best(filters.chi2_scores(c.weights, c.docs, N_FOLDS), 490))
     design = linear.prepare_design(c.weights, c.docs, c.vocab.restrict(selected))
-    fitted = linear.fit_linear(design, list(range(N_FOLDS)), masks=selected.select("term", F.col("fold").alias("set")))
+    fitted = linear.fit_linear(design, list(range(N_FOLDS)), masks=selected.select("term", F.col("fold").alias("set")), tolerance=0.02)
     totals = linear.intercept_slopes(design, fitted).withColumnRenamed("set", "fold")
     return filters.class_table(c.docs, N_FOLDS).join(totals, ["fold", "label"]).select(
         "fold", "label", F.col("n_label").cast("long").alias("n_train"), F.round(F.col("n_label") + F.col("slope"), 1).alias("expected"))
