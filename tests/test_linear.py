@@ -69,7 +69,7 @@ def weights_of(design, fitted, terms, which, per_set):
 
 def test_logistic_regression_reaches_the_optimum(corpus, design):
     x, y, fold, ids, terms = dense(corpus)
-    fitted = linear.fit_linear(design, list(range(FOLDS)), "softmax", tolerance=1e-4)
+    fitted = linear.fit_linear(design, list(range(FOLDS)), "softmax", tolerance=1e-4, max_rounds=300)
     assert fitted.worst.max() <= 1e-4
     preds = {(r.fold, r.doc_id): r.p for r in linear.predict_linear(design, fitted).collect()}
     assert len(preds) == len(ids)
@@ -85,7 +85,7 @@ def test_logistic_regression_reaches_the_optimum(corpus, design):
 def test_svm_is_within_its_gap(corpus, design):
     """The slopes at the solution are feasible dual variables; the gap they prove is within the stated one."""
     x, y, fold, ids, terms = dense(corpus)
-    fitted = linear.fit_linear(design, list(range(FOLDS)), "hinge", tolerance=1e-4, corner=0.1)
+    fitted = linear.fit_linear(design, list(range(FOLDS)), "hinge", tolerance=1e-4, corner=0.1, max_rounds=300)
     for f in range(FOLDS):
         w = weights_of(design, fitted, terms, f, 3)
         for k, (a, b) in enumerate(fitted.loss.pairs):
@@ -103,7 +103,7 @@ def test_masks_equal_separate_fits(corpus, design):
     x, y, fold, ids, terms = dense(corpus)
     kept = [(t, s) for s in range(FOLDS) for i, t in enumerate(terms) if (i + s) % 3]
     masks = corpus.docs.sparkSession.createDataFrame(kept, "term string, set int")
-    fitted = linear.fit_linear(design, list(range(FOLDS)), "softmax", masks=masks, tolerance=1e-4)
+    fitted = linear.fit_linear(design, list(range(FOLDS)), "softmax", masks=masks, tolerance=1e-4, max_rounds=300)
     for s in range(FOLDS):
         own = [i for i in range(len(terms)) if (i + s) % 3]
         got, want = weights_of(design, fitted, terms, s, 3), newton_lr(x[fold != s][:, own], y[fold != s])
