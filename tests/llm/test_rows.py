@@ -204,15 +204,40 @@ def test_perspectives(spark):
             (3, 70, None, "late", 1), (3, 1, "ann", "early", 1), (3, None, "ann", "when", 1), (None, 1, "ann", "x", 1), (4, 1, "ann", "é" * 100_000, 1)]
     got = chat.rotate(table(spark, rows, "conv_id long, turn long, role string, text string, speaker int")).collect()
     shown = {(r.conv_id, r.part, r.speaker): r for r in got}
-    assert set(shown) == {(1, 0, "ann"), (1, 0, "bob"), (3, 0, "ann"), (3, 1, "unknown"), (3, None, "ann"), (None, 0, "ann"), (4, 0, "ann")}
+    assert set(shown) == {(1, 0, "ann"), (1, 0, "bob"), (3, 0, "ann"), (3, 0, "unknown"), (None, 0, "ann"), (4, 0, "ann")}
+    assert shown[3, 0, "ann"].n_messages == 3 and shown[3, 0, "ann"].rendered.startswith("<|assistant|>\nwhen")
     r = shown[1, 0, "bob"]
-    assert r.rendered == "<|system|>\nbe kind<|end|>\n<|user name=ann|>\nhi<|end|>\n<|assistant|>\n<|end|>\n<|user name=ann|>\n<|end|>\n" and r.n_messages == 4
-    assert [r.rendered[m.start:m.end] for m in r.masks] == ["<|end|>\n"]
+    assert r.rendered == "<|system|>\nbe kind<|end|>\n<|user name=ann|>\nhi<|end|>\n" + "<|assistant|>\n<|end|>\n" * 2 + "<|user name=ann|>\n<|end|>\n" and r.n_messages == 5
+    assert [r.rendered[m.start:m.end] for m in r.masks] == ["<|end|>\n"] * 2
     r = shown[1, 0, "ann"]
     assert [r.rendered[m.start:m.end] for m in r.masks] == ["hi<|end|>\n", "<|end|>\n"]
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("window_rows", [None, 0])
+def test_long_dialogue(spark, window_rows):
+    """A speaker of the first messages gets every part, and each part opens with the system message."""
+    talk = [(7, 0, "system", "be kind"), (7, 1, "ann", "hello")] + [(7, 2 + i, ("bob", "eve")[i % 2], f"m{i}") for i in range(600)] + [(7, 300, "bob", "m298")] * 2
+    other = [(None, t, "zoe", f"z{t}") for t in range(70)]
+    got = chat.rotate(table(spark, talk + other, "conv_id long, turn long, role string, text string"), 64, window_rows).collect()
+    for conv, rows in ((7, talk), (None, other)):
+        ordered = sorted(rows, key=lambda r: r[1:])
+        people, opening = {r[2] for r in rows} - {"system"}, [r for r in ordered[:64] if r[2] == "system"]
+        want = set()
+        for at in range(0, len(ordered), 64):
+            for who in people:
+                own = ordered[at:at + 64]
+                text, masks = "", []
+                for _, _, role, said in (opening if at else []) + own:
+                    text += "<|" + {"system": "system", who: "assistant"}.get(role, "user name=" + role) + "|>\n"
+                    if role == who:
+                        masks.append((len(text), len(text + said + "<|end|>\n")))
+                    text += said + "<|end|>\n"
+                want.add((at // 64, who, len(own), text, tuple(masks)))
+        shown = [(r.part, r.speaker, r.n_messages, r.rendered, tuple((m.start, m.end) for m in r.masks)) for r in got if r.conv_id == conv]
+        assert len(shown) == len(want) and set(shown) == want
+
+
 # ---------------------------------------------------------------- mixing
 
 def test_poisson_cdf(spark):
