@@ -2,7 +2,8 @@
 
 A vector is turned by random signs and fast Hadamard transforms; the coordinate of largest size, with its sign,
 is its hash. Several hashes make a bucket, several tables of buckets are kept, and in each table a vector also
-enters the next likely buckets. Vectors that meet in a bucket are compared by cosine in double precision.
+enters the next likely buckets. More vectors need more hashes per bucket, and more hashes more tables, whose number
+follows from how often pairs at the threshold meet in one. Vectors that meet in a bucket are compared by cosine in double precision.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .components import connected_components
 
 SEED, TABLES, PROBES = 7, 6, 4
 THRESHOLD = 0.95
+# Share of the pairs at exactly the threshold that the tables have to bring together, and pairs drawn to plan it.
+RECALL, PLAN_PAIRS, PLAN_TABLES = 0.99, 512, 8
 # Vectors of one side of a comparison; larger buckets are dealt out as pairs of blocks.
 BLOCK = 1024
 TABLE_BITS = 56
@@ -43,6 +46,11 @@ def rotated(x: np.ndarray, seed: list[int]) -> np.ndarray:
     return x
 
 
+def padded_width(size: int) -> int:
+    """Power of two that vectors are padded to; signs of fewer than 32 places give too few rotations."""
+    return 1 << max(5, (size - 1).bit_length())
+
+
 def hashes_needed(n: int, width: int) -> int:
     """Hashes per bucket, so that there are more buckets than vectors."""
     enough = math.ceil(math.log(4 * max(n, 2)) / math.log(2 * width))
@@ -51,7 +59,7 @@ def hashes_needed(n: int, width: int) -> int:
 
 def buckets(x: np.ndarray, n: int, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
     """(rows, tables, probes) bucket numbers, the likeliest first; tables share no number."""
-    width = 1 << max(1, (x.shape[1] - 1).bit_length())
+    width = padded_width(x.shape[1])
     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
     out = []
     for table in range(tables):
@@ -71,6 +79,36 @@ def buckets(x: np.ndarray, n: int, tables: int = TABLES, probes: int = PROBES, s
     return np.stack(out, axis=1)
 
 
+def threshold_pairs(rows: int, width: int, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors and partners at a cosine of `threshold`."""
+    x, y = np.random.default_rng(seed).standard_normal((2, rows, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * y
+
+
+def meetings(x: np.ndarray, y: np.ndarray, n: int, tables: int, probes: int, seed: int = SEED) -> np.ndarray:
+    """(rows, tables): whether a pair shares a bucket of a table."""
+    left, right = buckets(x, n, tables, probes, seed), buckets(y, n, tables, probes, seed)
+    return (left[:, :, :, None] == right[:, :, None, :]).any(axis=(2, 3))
+
+
+def tables_needed(n: int, size: int, threshold: float = THRESHOLD, probes: int = PROBES, recall: float = RECALL) -> int:
+    """Tables that bring `recall` of the pairs at the threshold together, at least TABLES.
+
+    How often such a pair meets in one table is measured on random pairs under other rotations than those in use.
+    Table numbers have 7 bits, so there are at most 127; 56 bits of hashes need fewer at the thresholds in use.
+    """
+    if size < 2:  # the cosine is 1 or -1
+        return TABLES
+    x, y = threshold_pairs(max(32, min(PLAN_PAIRS, (1 << 17) // size)), size, threshold, SEED + 1)
+    share = meetings(x, y, n, PLAN_TABLES, probes, SEED + 1).mean()
+    if share >= 1:
+        return TABLES
+    return max(TABLES, min(127, math.ceil(math.log(1 - recall) / math.log(1 - max(share, 0.001)))))
+
+
 def _hash(n: int, tables: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,12 +213,16 @@ def _compare(threshold: float, tables: int):
     return run
 
 
-def near_links(reps: DataFrame, n: int, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES,
+def near_links(reps: DataFrame, n: int, threshold: float = THRESHOLD, tables: int | None = None, probes: int = PROBES,
                block: int = BLOCK) -> DataFrame:
     """(rep, n, root): per bucket, how many vectors `rep` is linked with for the first time, and the smallest
-    position of its group there. `reps` has rep, vec (doubles), mult (how many copies)."""
+    position of its group there. `reps` has rep, vec (doubles), mult (how many copies). Without `tables` their
+    number follows the count and the widths of the vectors."""
     spark = reps.sparkSession
     sizes = reps.select("rep", F.size("vec").alias("dim"))
+    if tables is None:
+        widths = sizes.groupBy(F.ceil(F.log2("dim")).alias("bits")).agg(F.max("dim").alias("size")).collect()  # at most 32
+        tables = max((tables_needed(n, r["size"], threshold, probes) for r in widths), default=TABLES)
     hashed = materialize(reps.select("rep", "vec").mapInArrow(_hash(n, tables, probes), "rep long, buckets array<long>")
                          .join(sizes, "rep"))
     entered = hashed.select("rep", "dim", F.explode(F.array_distinct("buckets")).alias("bucket"))

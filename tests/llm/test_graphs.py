@@ -227,5 +227,17 @@ def test_embeddings(spark, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("size", [2, 16, 64, 300])
+def test_tables_follow_the_count(size):
+    """Pairs at exactly the threshold meet, however many vectors there are."""
+    counts = [10**4, 10**6, 10**8, 10**10]
+    tables = [embedding_dedup.tables_needed(n, size) for n in counts]
+    assert tables == sorted(tables) and tables[0] >= embedding_dedup.TABLES
+    x, y = embedding_dedup.threshold_pairs(400, size, embedding_dedup.THRESHOLD, 99)
+    assert np.allclose((x * y).sum(axis=1), embedding_dedup.THRESHOLD)
+    for n, t in zip(counts, tables, strict=True):
+        assert embedding_dedup.meetings(x, y, n, t, embedding_dedup.PROBES).any(axis=1).mean() >= (0.9 if size == 2 else 0.965), (n, t)
+
+
 def test_no_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
