@@ -37,8 +37,9 @@ def _genes(pop: DataFrame, column: str) -> DataFrame:
 class _Search:
     """State of all searches: populations on disk, fitness arrays as a small local table."""
 
-    def __init__(self, ev: Evaluation, size: int, n_runs: int, seed: int, n_gens: int, evaluate):
-        self.ev, self.size, self.n_runs, self.seed, self.n_gens = ev, size, n_runs, seed, n_gens
+    def __init__(self, ev: Evaluation, size: int, n_runs: int, seed: int, budget: int, evaluate):
+        self.ev, self.size, self.n_runs, self.seed, self.budget = ev, size, n_runs, seed, budget
+        self.n_gens = -(-budget // size)
         self.evaluate_masks = evaluate
         pop = init_population(gene_dims(ev.vocab), size, seed, n_runs, ev.n_folds)
         self.pop = materialize(pop.withColumn("top", F.col("xs")[0]))
@@ -49,9 +50,15 @@ class _Search:
         self.tired: dict = {}
 
     def evaluate(self, column: str) -> DataFrame:
-        masks = decode_mask(_genes(self.pop, column))
-        self.used += self.size
-        return bounded(fitness_arrays(self.evaluate_masks(self.ev, masks, self.size, self.n_runs)))
+        """Fitness of as many candidates as the budget has left, the first ones; the others count as the worst."""
+        left = min(self.size, self.budget - self.used)
+        unjudged = F.array_repeat(F.lit(float("inf")), self.size - left)
+        if left == 0:
+            return bounded(self.fits.withColumn("fits", unjudged))
+        masks = decode_mask(_genes(self.pop, column)).withColumn("keep", F.slice("keep", 1, left))
+        self.used += left
+        fits = fitness_arrays(self.evaluate_masks(self.ev, masks, left, self.n_runs))
+        return bounded(fits.withColumn("fits", F.concat("fits", unjudged)))
 
     def propose(self, trial: DataFrame) -> DataFrame:
         """Store the moved population and return the fitness of its trial genes."""
@@ -144,12 +151,12 @@ class _Search:
 
 def search(ev: Evaluation, method: str = "ga", size: int = 25, budget: int = 1000, n_runs: int = 10,
            seed: int = 123, evaluate=evaluate_population) -> SearchResult:
-    """Run every (run, fold) search until `budget` candidates each have been evaluated.
+    """Run every (run, fold) search until exactly `budget` candidates each have been evaluated; a last generation
+    beyond it is judged in part.
 
     The random seed of run j is seed + j + 1 in every fold.
     """
-    n_gens = -(-budget // size)
-    state = _Search(ev, size, n_runs, seed, n_gens, evaluate)
+    state = _Search(ev, size, n_runs, seed, budget, evaluate)
     state.remember(0, state.fits)
     gen = 0
     while state.used < budget:
