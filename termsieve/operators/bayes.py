@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import bounded, broadcast_checked, materialize
+from ..runtime import bounded, broadcast_if, materialize
 from .filters import class_table, explode_folds, outside, term_class_sums
-from .vectorize import Vocabulary, join_on_term
+from .vectorize import Vocabulary, join_on_term, join_stored
 
 # Scores are compared at this many digits, then by label, so that float summation
 # order cannot change a prediction.
@@ -56,9 +56,10 @@ def classify_multinomial_nb(train: DataFrame, train_docs: DataFrame, test: DataF
     stats = term_class_sums(train, n_folds)
     entries = test.select("doc_id", _fold(n_folds), "term", "w")
     if selected is not None:
-        kept = broadcast_checked(selected.select("fold", "term"))
-        stats = stats.join(kept, ["fold", "term"], "left_semi")
-        entries = entries.join(kept, ["fold", "term"], "left_semi")
+        kept = materialize(selected.select("fold", "term"))
+        n_kept = kept.count()
+        stats = stats.join(broadcast_if(kept, n_kept), ["fold", "term"], "left_semi")
+        entries = join_stored(entries, kept, n_kept, ["fold", "term"], "left_semi")
     # Read twice below, and far smaller than the entries.
     stats = materialize(stats)
     totals = stats.groupBy("fold", "label").agg(F.sum("s").alias("_all"))

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import bounded, broadcast_checked, materialize, ranked
-from .vectorize import join_on_term, sized_vocabulary
+from ..runtime import BROADCAST_ROWS, bounded, materialize, ranked
+from .vectorize import join_on_term, join_stored, sized_vocabulary
 
 # Spark cuts a window to its first rows in each task up to this many by default
 # (spark.sql.optimizer.windowGroupLimitThreshold).
@@ -152,7 +152,8 @@ def rank_terms(scores: DataFrame, digits: int = 6) -> DataFrame:
     return ranked(materialize(scores), by, _best_first(digits), name="rank")
 
 
-def apply_selection(weights: DataFrame, selected: DataFrame) -> DataFrame:
+def apply_selection(weights: DataFrame, selected: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Entries of the selected terms. Weights are not scaled again."""
-    return weights.join(broadcast_checked(selected.select("term").distinct()), "term", "left_semi")
+    kept = materialize(selected.select("term").distinct())
+    return join_stored(weights, kept, kept.count(), how="left_semi", limit=limit)
 

@@ -13,10 +13,10 @@ from pyspark.sql.window import Window
 
 from ..functions import porter_stem, regex_clean, remove_stopwords, tokenize_words
 from ..functions.fixed import SPACE, STOPWORDS, WORD
-from ..runtime import BROADCAST_ROWS, broadcast_checked, broadcast_if, materialize, ranked
+from ..runtime import BROADCAST_ROWS, materialize, ranked
 
-# Terms holding at least 1 / HOT_SHARE of all entries are joined by broadcast; there
-# are at most HOT_SHARE of them whatever the corpus size.
+# Terms holding more than 1 / HOT_SHARE of all entries (with more shuffle partitions, more than one of those holds on
+# average) are frequent: at most that many whatever the corpus size.
 HOT_SHARE = 1_000
 
 
@@ -73,11 +73,11 @@ def conflate_tokens(terms: DataFrame, stems: DataFrame | None = None,
                             .withColumn("stem", porter_stem(F.col("term"))))
         if words.count() > limit:
             return terms.withColumn("term", porter_stem(F.col("term")))
-        stems = F.broadcast(words)
+        joined = terms.join(F.broadcast(words), "term", "left")
     else:
-        stems = broadcast_checked(stems.select("term", "stem"), limit)
-    return terms.join(stems, "term", "left") \
-        .withColumn("term", F.coalesce("stem", "term")).drop("stem")
+        words = materialize(stems.select("term", "stem"))
+        joined = join_stored(terms, words, words.count(), how="left", limit=limit)
+    return joined.withColumn("term", F.coalesce("stem", "term")).drop("stem")
 
 
 def term_rows(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -139,9 +139,14 @@ class Vocabulary:
         """The vocabulary of selected terms."""
         return sized_vocabulary(self.terms.join(selected.select("term").distinct(), "term", "left_semi"), self.n_docs)
 
+    def hot_share(self) -> int:
+        return max(HOT_SHARE, int(self.terms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def hot(self) -> DataFrame:
-        """Terms that hold a large share of all entries: at most HOT_SHARE rows."""
-        return self.terms.where(F.col("df") * HOT_SHARE > self.n_entries).select("term")
+        """(term, salts) of terms that hold a large share of all entries: at most `hot_share` rows, and at most
+        twice as many salts, each of which stands for no more entries than that share."""
+        parts = F.col("df") * self.hot_share()
+        return self.terms.where(parts > self.n_entries).select("term", F.ceil(parts / self.n_entries).cast("int").alias("salts"))
 
 
 def sized_vocabulary(terms: DataFrame, n_docs: int) -> Vocabulary:
@@ -155,23 +160,42 @@ def fit_vocabulary(counts: DataFrame, n_docs: int, min_df: int) -> Vocabulary:
     return sized_vocabulary(document_frequency(counts, min_df), n_docs)
 
 
+def salted_entries(entries: DataFrame, vocab: Vocabulary, on: list[str]) -> DataFrame:
+    """Entries of frequent terms with a `_salt` that depends on what else the row holds, so a retried task repeats it."""
+    rest = [c for c in entries.columns if c not in on] or on
+    return entries.join(F.broadcast(vocab.hot()), "term").withColumn("_salt", F.pmod(F.xxhash64(*rest), F.col("salts"))).drop("salts")
+
+
 def join_on_term(entries: DataFrame, side: DataFrame, vocab: Vocabulary, on: list[str] | str = "term",
-                 rows_per_term: int = 1, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join document entries with a relation that has few rows per term.
+                 rows_per_term: int | None = 1, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join document entries with a relation that has few rows per term (None: unknown).
 
-    A side of at most `limit` rows is broadcast. Otherwise the frequent terms, whose
-    number is bounded, are joined by broadcast and the others by shuffle, so a term
-    found in every document never forms one large join partition.
+    A side of at most `limit` rows is broadcast. Otherwise the rows of frequent terms, whose number is bounded, are
+    broadcast if they are few enough, or repeated per salt and joined by shuffle, and the other terms are joined
+    by shuffle, so a term found in every document never forms one large join partition.
     """
-    if vocab.n_terms * rows_per_term <= limit:
+    if rows_per_term is not None and vocab.n_terms * rows_per_term <= limit:
         return entries.join(F.broadcast(side), on, how)
+    keys = [on] if isinstance(on, str) else on
     hot = F.broadcast(vocab.hot())
-    frequent = entries.join(hot, "term", "left_semi").join(
-        broadcast_if(side.join(hot, "term", "left_semi"), HOT_SHARE * rows_per_term, limit), on, how)
+    if rows_per_term is not None and vocab.hot_share() * rows_per_term <= limit:
+        frequent = entries.join(hot, "term", "left_semi").join(F.broadcast(side.join(hot, "term", "left_semi")), on, how)
+    else:
+        repeated = side.join(hot, "term").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))).drop("salts")
+        frequent = salted_entries(entries, vocab, keys).join(repeated, [*keys, "_salt"], how).drop("_salt")
     rare = entries.join(hot, "term", "left_anti").join(side.join(hot, "term", "left_anti"), on, how)
     return frequent.unionByName(rare)
 
 
+def join_stored(entries: DataFrame, side: DataFrame, n_rows: int, on: list[str] | str = "term", how: str = "inner",
+                limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join entries with a stored relation of `n_rows` rows. One too large to broadcast is joined by the frequencies
+    of the entries' own terms, known to it or not."""
+    if n_rows <= limit:
+        return entries.join(F.broadcast(side), on, how)
+    return join_on_term(entries, side, sized_vocabulary(document_frequency(entries), 0), on, None, how, limit)
+
+
 def transform_with_vocabulary(counts: DataFrame, vocab: Vocabulary, weighting: str = "tfidf") -> DataFrame:
     """Weights `w` of the known terms of each document; unknown terms are dropped.
 

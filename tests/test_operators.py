@@ -47,6 +47,41 @@ def test_hot_terms_join_like_others(corpus):
         assert sorted(a) == sorted(b)
 
 
+@pytest.mark.parametrize("limit", [0, 10])
+def test_large_selections_join_alike(corpus, monkeypatch, limit):
+    """Salted and broadcast frequent terms, a selection that lacks the most frequent term, and a dictionary of stems."""
+    monkeypatch.setattr(vectorize, "HOT_SHARE", 2)
+    entries = corpus.weights.select("doc_id", "fold", "term")
+    side = corpus.vocab.terms.select("term", F.col("df").alias("x"))
+    for how in ("inner", "left"):
+        joined = vectorize.join_on_term(entries, side, corpus.vocab, how=how, limit=limit).select("doc_id", "term", "x")
+        assert sorted(joined.collect()) == sorted(entries.join(side, "term", how).select("doc_id", "term", "x").collect())
+    most = corpus.vocab.terms.orderBy(F.desc("df"), "term").first()["term"]
+    some = corpus.vocab.terms.where(F.col("term") != most).select("term", F.lit("s").alias("stem"))
+    want = sorted(entries.join(some, "term", "left_semi").select("doc_id", "term").collect())
+    assert sorted(filters.apply_selection(entries, some, limit).select("doc_id", "term").collect()) == want
+    got = vectorize.conflate_tokens(entries, some, limit).groupBy("term").count().collect()
+    n_most = entries.where(F.col("term") == most).count()
+    assert {(r["term"], r["count"]) for r in got} == {(most, n_most), ("s", len(want))}
+
+
+def test_salts_split_a_term_of_every_document(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.explode(F.array(
+        F.lit("all"), F.concat(F.lit("t"), F.col("id") % 3000))).alias("term"))
+    vocab = vectorize.fit_vocabulary(rows, 20_000, 1)
+    assert [(r["term"], r["salts"]) for r in vocab.hot().collect()] == [("all", 500)]
+    sizes = vectorize.salted_entries(rows, vocab, ["term"]).groupBy("term", "_salt").count().agg(F.sum("count"), F.max("count")).first()
+    assert sizes[0] == 20_000 and sizes[1] <= 2 * 40_000 / vocab.hot_share()
+
+
+def test_search_ends_at_its_budget(corpus):
+    ev = population.prepare_evaluation(corpus.weights, corpus.docs, corpus.vocab, 3)
+    for method, budget in (("abc", 9), ("de", 6), ("ga", 3)):
+        found = wrapper.search(ev, method, 4, budget, 1)
+        assert found.evaluations == budget and found.results.count() == 3
+        assert all(r["fitness"] <= 1 for r in found.results.collect())
+
+
 def test_short_text_has_no_grams(spark):
     rows = spark.createDataFrame([(1, "ab", "x"), (2, "ab\U0001F600d", "x")], "doc_id long, text string, label string")
     assert sorted(r["term"] for r in vectorize.char_ngrams(rows).collect()) == ["ab\U0001F600", "b\U0001F600d"]
