@@ -790,6 +790,16 @@ def population_size_sweep(spark, sf):
     return out
 
 
+@query
+def wrapper_run(spark, sf):
+    """Short searches per weighting and method, refitted on train: test accuracy and features kept; the report goes to a folder."""
+    schemes = {name: X.SCHEMES[name] for name in ("bow_tf-idf", "bow_binary")}
+    run = wrapper.wrapper_run(split_docs(spark, sf), ("ga", "cuckoo"), schemes, size=4, budget=8, n_runs=1, n_folds=INNER, seed=SEED, evaluator="mnb")
+    T.sink_report(reports.wrapper_lines(run.preds, run.selected, run.seconds), f"{run_folder(spark, 'wrapper')}/run")
+    kept = run.selected.groupBy("scheme", "method").agg(F.count("*").alias("n_selected"))
+    return metrics.accuracy(run.preds, ("scheme", "method")).join(kept, ["scheme", "method"]).select("scheme", "method", "n_selected", *r6("accuracy"))
+
+
 # ---------------------------------------------------------------- classifier grid
 
 def verdicts(preds, train_docs):

@@ -7,6 +7,7 @@ per run and fold. The genes are written to the shared folder between generations
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -18,6 +19,8 @@ from ..operators.population import (POP_KEYS, Evaluation, best_per_fold, decode_
 from ..operators.split import kfold_shuffled, stratified_folds
 from ..operators.vectorize import Vocabulary
 from ..runtime import bounded, materialize
+from .corpus import build_corpus
+from .experiments import BAYES, SCHEMES
 
 METHODS = ("ga", "gwo", "sca", "abc", "bat", "cuckoo", "de", "harmony", "pso", "firefly")
 
@@ -193,3 +196,34 @@ def transform_selected(weights: DataFrame, scores: DataFrame) -> DataFrame:
     """Entries of the selected terms."""
     from ..operators.filters import apply_selection
     return apply_selection(weights, support_mask(scores))
+
+
+@dataclass
+class WrapperRun:
+    preds: DataFrame      # (scheme, method, doc_id, y, p) of the test documents
+    selected: DataFrame   # (scheme, method, dim, term)
+    seconds: DataFrame    # (scheme, method, stage, seconds) as measured
+
+
+def wrapper_run(docs: DataFrame, methods: tuple[str, ...] = METHODS, schemes: dict = SCHEMES, min_df: int = 3,
+                classifier: str = "MNB", **options) -> WrapperRun:
+    """Per weighting scheme and method: select features on the train documents, keep them in both splits, fit anew
+    on train and classify test. `options` go to `select_features`."""
+    preds = selected = None
+    took = []
+    for scheme, (analyzer, weighting) in schemes.items():
+        corpus = build_corpus(docs, analyzer, weighting, min_df, fit_on="train")
+        (train, train_docs), (test, test_docs) = corpus.part("train"), corpus.part("test")
+        for method in methods:
+            begun = time.monotonic()
+            scores = materialize(select_features(train, train_docs, corpus.vocab, method, **options))
+            kept = support_mask(scores)
+            chosen = time.monotonic()
+            found = materialize(BAYES[classifier](transform_selected(train, scores), train_docs, transform_selected(test, scores),
+                                                  test_docs, corpus.vocab.restrict(kept)).select("doc_id", "y", "p"))
+            took += [(scheme, method, "selection", chosen - begun), (scheme, method, "classification", time.monotonic() - chosen)]
+            name = [F.lit(scheme).alias("scheme"), F.lit(method).alias("method")]
+            found, kept = found.select(*name, "*"), kept.select(*name, "dim", "term")
+            preds = found if preds is None else preds.unionByName(found)
+            selected = kept if selected is None else selected.unionByName(kept)
+    return WrapperRun(preds, selected, docs.sparkSession.createDataFrame(took, "scheme string, method string, stage string, seconds double"))

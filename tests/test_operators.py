@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termsieve.operators import classify, filters, linear, metrics, population, sample, split, steps, vectorize
-from termsieve.plans import wrapper
+from termsieve.plans import reports, wrapper
 from termsieve.plans.corpus import build_corpus
 from termsieve.runtime import ranked
 
@@ -82,6 +82,22 @@ def test_search_ends_at_its_budget(corpus):
         assert all(r["fitness"] <= 1 for r in found.results.collect())
 
 
+def test_wrapper_run(docs):
+    """What is kept is the search's own selection, and predictions are those of a model fitted on it."""
+    halves = docs.withColumn("split", F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train"))
+    options = {"size": 3, "budget": 3, "n_runs": 1, "n_folds": 2, "evaluator": "mnb"}
+    run = wrapper.wrapper_run(halves, ("ga",), {"words": ("word", "tfidf")}, 2, **options)
+    held = build_corpus(halves, min_df=2, fit_on="train")
+    scores = wrapper.select_features(*held.part("train"), held.vocab, "ga", **options)
+    kept = population.support_mask(scores)
+    assert sorted(r["term"] for r in run.selected.collect()) == sorted(r["term"] for r in kept.collect())
+    inside = held.weights.join(kept.select("term"), "term", "left_semi")
+    want = wrapper.BAYES["MNB"](inside.where("split = 'train'"), held.part("train")[1], inside.where("split = 'test'"), held.part("test")[1], held.vocab.restrict(kept))
+    assert sorted(run.preds.select("doc_id", "y", "p").collect()) == sorted(want.select("doc_id", "y", "p").collect())
+    lines = [r["line"] for r in reports.wrapper_lines(run.preds, run.selected, run.seconds).orderBy("line_no").collect()]
+    assert lines[0] == "Feature model-scheme: words" and lines[1].startswith("ga | Average acc:") and len(lines) == 2
+
+
 def test_short_text_has_no_grams(spark):
     rows = spark.createDataFrame([(1, "ab", "x"), (2, "ab\U0001F600d", "x")], "doc_id long, text string, label string")
     assert sorted(r["term"] for r in vectorize.char_ngrams(rows).collect()) == ["ab\U0001F600", "b\U0001F600d"]
