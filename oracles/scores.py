@@ -49,6 +49,25 @@ parts AS (SELECT term, x.n / c.n_docs::DOUBLE * ln(x.n * c.n_docs::DOUBLE /
   (c.n_label * (sum(x.n) OVER (PARTITION BY term, bin))::DOUBLE)) AS part FROM cells x JOIN classes c USING (label))"""]) + \
     "\nSELECT term, round(sum(part), 6) AS score FROM parts GROUP BY term"
 
+# Every pair of points of a class, every pair of a term: third nearest by rank, points within counted one by one.
+SQL["mutual_info_neighbors"] = "WITH " + ",\n".join([TFIDF, CLASSES, """
+kept AS (SELECT label, n_label, (sum(n_label) OVER ())::BIGINT AS n FROM classes WHERE n_label > 1),
+seen AS (SELECT w.term, w.label, w.doc_id, round(w.w * 1e9)::BIGINT AS v FROM weights w JOIN kept USING (label)),
+points AS (SELECT term, label, v, count(*) AS mult FROM seen GROUP BY ALL UNION ALL
+  SELECT t.term, k.label, 0, k.n_label - count(s.doc_id) FROM (SELECT DISTINCT term FROM seen) t CROSS JOIN kept k
+  LEFT JOIN seen s ON s.term = t.term AND s.label = k.label GROUP BY t.term, k.label, k.n_label HAVING k.n_label > count(s.doc_id)),
+copies AS (SELECT term, label, v, unnest(range(least(mult, 4))) FROM points),
+apart AS (SELECT a.term, a.label, a.v, a.mult, k.n_label, k.n, min(abs(a.v - b.v), 4) AS d
+  FROM points a JOIN copies b ON a.term = b.term AND a.label = b.label JOIN kept k ON k.label = a.label GROUP BY ALL),
+radius AS (SELECT term, label, v, mult, n_label, n, d[least(4, n_label)] AS r FROM apart),
+inside AS (SELECT a.term, a.label, a.v, a.mult, a.n_label, a.n, a.r, sum(b.mult) AS m FROM radius a JOIN points b
+  ON b.term = a.term AND b.v BETWEEN a.v - greatest(a.r, 1) + 1 AND a.v + greatest(a.r, 1) - 1 GROUP BY ALL),
+psi AS (SELECT i, sum(CASE WHEN i > 1 THEN 1.0::DOUBLE / (i - 1) ELSE 0 END) OVER (ORDER BY i) - 0.5772156649015329 AS psi
+  FROM range(1, (SELECT max(n) + 1 FROM kept)) t(i)),
+parts AS (SELECT term, mult * (p.psi + a.psi - b.psi - c.psi) / n AS part FROM inside JOIN psi p ON p.i = n JOIN psi b ON b.i = n_label
+  JOIN psi c ON c.i = m JOIN psi a ON a.i = CASE WHEN r = 0 THEN mult ELSE least(3, n_label - 1) END)"""]) + \
+    "\nSELECT term, round(greatest(sum(part), 0), 6) AS score FROM parts GROUP BY term"
+
 BEST = "best AS (SELECT row_number() OVER (ORDER BY round(score, 6) DESC NULLS LAST, term DESC) AS rank, term, score FROM scores)"
 SQL["select_k_best"] = "WITH " + ",\n".join([TFIDF, CLASSES, CHI2, BEST]) + \
     "\nSELECT rank::INT AS rank, term, round(score, 6) AS score FROM best WHERE rank <= 1250"

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import clean as C
-from ..operators import bayes, filters, linear, metrics, population, sample, split, steps, tree, vectorize
+from ..operators import bayes, filters, linear, metrics, neighbors, population, sample, split, steps, tree, vectorize
 from ..operators.classify import CLASSIFIERS, LINEAR_CLASSIFIERS
 from ..runtime import bounded, materialize, scratch_root
 from ..sources import tables as T
@@ -377,6 +377,12 @@ def mutual_info_binned(spark, sf):
     return filters.mutual_info_binned(c.weights, c.docs).select("term", *r6("score"))
 
 
+@query
+def mutual_info_neighbors(spark, sf):
+    c = corpus(spark, sf)
+    return neighbors.mutual_info_neighbors(c.weights, c.docs).select("term", *r6("score"))
+
+
 @query
 def select_k_best(spark, sf):
     c = corpus(spark, sf)

@@ -119,3 +119,26 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank"
     joined = placed.join(broadcast_checked(offsets), ["_part", *by])
     return joined.withColumn(name, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int")) \
         .drop("_at", "_part", "_first", "_before")
+
+
+def running_sum(df: DataFrame, by: list[str], order: list[Column], value: str, name: str,
+                n_rows: int | None = None, window_rows: int | None = None) -> DataFrame:
+    """Sum of `value` up to each row of its `by` group under `order`; rows equal under `order` get the same sum.
+
+    Small inputs use a window. Beyond `window_rows` rows the input is range-partitioned on (by, order), which keeps
+    equal rows together, summed inside each partition and shifted by the group's sums of earlier partitions.
+    """
+    limit = WINDOW_ROWS if window_rows is None else window_rows
+    if (df.count() if n_rows is None else n_rows) <= limit:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn(name, F.sum(value).over(w))
+    keys = [F.col(c) for c in by] + list(order)
+    parts = max(df.sparkSession.sparkContext.defaultParallelism * 4,
+                int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = materialize(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part", *by).agg(F.sum(value).alias("_s")).select(
+        "_part", *by, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_part", *by).orderBy(*order)
+    summed = placed.withColumn(name, F.sum(value).over(w)).join(broadcast_checked(offsets), ["_part", *by])
+    return summed.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")

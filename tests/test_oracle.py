@@ -9,7 +9,7 @@ from tests.conftest import SF
 SAMPLE = ["clean_short_text", "linguistic_tokens", "scan_by_category", "class_distribution", "half_per_class",
           "pool_splits", "char_ngrams", "linguistic_terms", "tfidf_l2", "transform_with_vocabulary",
           "stratified_folds_shuffled", "kfold_shuffled", "chi2_scores_by_fold", "mutual_info_presence",
-          "mutual_info_binned", "select_k_best", "k_sweep", "classify_multinomial_nb", "classify_gaussian_nb",
+          "mutual_info_binned", "mutual_info_neighbors", "select_k_best", "k_sweep", "classify_multinomial_nb", "classify_gaussian_nb",
           "classification_report", "evaluate_population", "evaluate_population_gaussian", "vote_features", "step_de"]
 
 
