@@ -3,22 +3,28 @@
 A text is normalised (case, punctuation, white space, copyright lines, equivalent spellings) and the digest
 of the whole of it is hash-joined to the digests of known licence texts, normalised in the same way.
 A document is looked up as a whole, and each of its lines as a whole, which finds licence notices.
+
+A copyright line opens with "copyright" and a sign, a year, a placeholder, "by" or a capitalised name, or with the sign and
+a year; "All rights reserved" on the next line goes with it. Other lines that happen to begin with "copyright" stay.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..runtime import broadcast_checked
 from .license_texts import KNOWN_TEXTS, SPELLINGS
 
 # Known texts come as a parameter; up to so many distinct digests (64 characters each) are broadcast.
 BROADCAST_DIGESTS = 100_000
-COPYRIGHT_LINE = r"(^|\n)[^\p{L}\n]*(copyright|\(c\)|©)[^\n]*"
+COPYRIGHT_LINE = (r"(^|\n)[^\p{L}\n]*((?i:copyright)[ \t]*(\([cC]\)|©|:|[0-9]|<|\[|(?i:by) )"
+                  r"|(\([cC]\)|©)[ \t]*((?i:copyright)|[0-9]|(?i:by) )|Copyright[ \t]+([tT]he[ \t]+)?\p{Lu}\p{Ll})[^\n]*"
+                  r"(\n[^\p{L}\n]*(?i:all rights reserved)[^\p{L}\n]*)?")
 
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, one spelling, words of letters and digits with one space between."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
+    out = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, " "))
     for variant, standard in SPELLINGS:
         out = F.replace(out, F.lit(variant), F.lit(standard))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
@@ -29,22 +35,35 @@ def digest(text: Column) -> Column:
     return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
 
 
-def known_digests(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN_TEXTS) -> DataFrame:
-    """(known_digest, license): equal digests under several names keep the first name in order."""
-    table = spark.createDataFrame(texts, "license string, body string")
-    return table.select(digest(F.col("body")).alias("known_digest"), "license").where("known_digest IS NOT NULL") \
+Known = list[tuple[str, str]] | DataFrame
+
+
+def license_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Known texts from files named `<license>.txt`, whole files as texts; such as a copy of a public licence list."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"\.txt$", "")
+    return files.select(name.alias("license"), F.col("value").alias("body"))
+
+
+def known_digests(spark: SparkSession, texts: Known = KNOWN_TEXTS) -> DataFrame:
+    """(known_digest, license): equal digests under several names keep the first name in order.
+
+    The table is stored and counted, and broadcast only within BROADCAST_DIGESTS rows.
+    """
+    table = texts if isinstance(texts, DataFrame) else spark.createDataFrame(texts, "license string, body string")
+    table = table.select(digest(F.col("body")).alias("known_digest"), "license").where("known_digest IS NOT NULL") \
         .groupBy("known_digest").agg(F.min("license").alias("license"))
+    return broadcast_checked(table, BROADCAST_DIGESTS)
 
 
-def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN_TEXTS) -> DataFrame:
+def scan_licenses(docs: DataFrame, known: Known = KNOWN_TEXTS) -> DataFrame:
     """doc_id, digest, license (of the whole text, or null), n_notices, notices (sorted names of matching lines).
 
-    One row for each row of `docs`; rows that repeat an id get the notices of all of them. A null or empty
-    text has no digest and no licence. Other columns of `docs` are ignored.
+    `known` holds (license, body), as a list or a table. One row for each row of `docs`; rows that repeat an id get the
+    notices of all of them. A null or empty text has no digest and no licence, also as a known text. Other columns of
+    `docs` are ignored.
     """
     table = known_digests(docs.sparkSession, known)
-    if len(known) <= BROADCAST_DIGESTS:
-        table = F.broadcast(table)
     rows = docs.select("doc_id", "text")
     whole = rows.select("doc_id", digest(F.col("text")).alias("digest"))
     whole = whole.join(table, F.col("digest") == F.col("known_digest"), "left").select("doc_id", "digest", "license")
@@ -67,7 +86,7 @@ QUERIES = {"op5_licenses": op5_licenses}
 
 
 def _sql_digest(text: str) -> str:
-    out = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"lower(regexp_replace(coalesce({text}, ''), '{COPYRIGHT_LINE}', ' ', 'g'))"
     for variant, standard in SPELLINGS:
         out = f"replace({out}, '{variant}', '{standard}')"
     return f"sha256(nullif(trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ''))"

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -109,6 +110,38 @@ def test_licenses(spark):
     assert canonical_license.scan_licenses(docs, []).where("license IS NOT NULL").count() == 0
 
 
+def known_text(name):
+    return next(t for n, t in canonical_license.KNOWN_TEXTS if n == name)
+
+
+def test_licenses_as_they_are_found(spark):
+    """Wrapped at any width, commented, titled, under notices of several styles; lines of the text that begin with "copyright" stay."""
+    wrapped = {width: "\n".join(textwrap.wrap(known_text("ISC"), width)) for width in range(40, 100, 3)}
+    assert any(line.startswith("copyright notice") for t in wrapped.values() for line in t.split("\n"))
+    cases = [(t, "ISC") for t in wrapped.values()]
+    bsd = "\n".join(f" * {line}" for line in textwrap.wrap(known_text("BSD-3-Clause"), 70))
+    cases += [("/*\n * Copyright (c) 1998, 2001 The Authors.\n * All rights reserved.\n *\n" + bsd + "\n */", "BSD-3-Clause"),
+              ("BSD 2-Clause License\n\nCopyright 2011-2013 A, B\n\n" + known_text("BSD-2-Clause"), "BSD-2-Clause"),
+              (known_text("BSD-2-Clause").replace("1. ", "- ").replace("2. ", "- "), "BSD-2-Clause"),
+              ("The MIT License (MIT)\n\nCopyright © Jane Doe\nCopyright Jane Doe and others\n(C) 2003 Else\ncopyright [yyyy] [name]\n" + known_text("MIT"), "MIT"),
+              ("Copyright by Me\n" + known_text("Zlib"), "Zlib"), (known_text("AGPL-3.0-or-later notice").replace("https", "http"), "AGPL-3.0-or-later notice"),
+              ("copyright law protects this book\nAll rights reserved.", None), ("(c) You must retain notices.\nAll rights reserved.", None),
+              ("Copyright holders\n" + known_text("MIT"), None), ("Copyright 2020 Me\nAll rights reserved.", None),
+              (known_text("MIT") * 400, None)]
+    docs = table(spark, [(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in canonical_license.scan_licenses(docs).collect()}
+    assert [got[i].license for i in range(len(cases))] == [want for _, want in cases]
+    assert got[len(cases) - 2].digest is None  # nothing but a copyright notice
+
+
+def test_licenses_from_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("My Licence\n\nDo as you like,\nalways.")
+    (tmp_path / "Empty.txt").write_text("")
+    docs = table(spark, [(1, "Copyright 2020 X\nMY LICENSE: do as you like; always"), (2, known_text("MIT"))], "doc_id long, text string")
+    known = canonical_license.license_folder(spark, str(tmp_path))
+    assert {r.doc_id: r.license for r in canonical_license.scan_licenses(docs, known).collect()} == {1: "Own-1.0", 2: None}
+
+
 # ---------------------------------------------------------------- personal data
 
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000, 7919])
