@@ -22,17 +22,31 @@ COPYRIGHT_LINE = (r"(^|\n)[^\p{L}\n]*((?i:copyright)[ \t]*(\([cC]\)|©|:|[0-9]|<
                   r"(\n[^\p{L}\n]*(?i:all rights reserved)[^\p{L}\n]*)?")
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling, words of letters and digits with one space between."""
-    out = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, " "))
+def _spelled(text: Column) -> Column:
+    out = F.lower(text)
     for variant, standard in SPELLINGS:
         out = F.replace(out, F.lit(variant), F.lit(standard))
+    return out
+
+
+def canonical(text: Column) -> Column:
+    """Lower case, no copyright lines, one spelling, words of letters and digits with one space between."""
+    out = _spelled(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, " "))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
+def canonical_lines(text: Column) -> Column:
+    """Every line in the same form, copyright lines too; the text is normalised as one and cut then (no spelling holds a line's end)."""
+    return F.transform(F.split(F.regexp_replace(_spelled(text), r"[^\p{L}\p{N}\n]+", " "), "\n"), lambda line: F.trim(line))
+
+
+def _sha(words: Column) -> Column:
+    return F.sha2(F.nullif(words, F.lit("")), 256)
+
+
 def digest(text: Column) -> Column:
     """Null for a text without any letter or digit, which is never looked up."""
-    return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
+    return _sha(canonical(text))
 
 
 Known = list[tuple[str, str]] | DataFrame
@@ -67,8 +81,8 @@ def scan_licenses(docs: DataFrame, known: Known = KNOWN_TEXTS) -> DataFrame:
     rows = docs.select("doc_id", "text")
     whole = rows.select("doc_id", digest(F.col("text")).alias("digest"))
     whole = whole.join(table, F.col("digest") == F.col("known_digest"), "left").select("doc_id", "digest", "license")
-    lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line")) \
-        .select("doc_id", digest(F.col("line")).alias("known_digest"))
+    lines = rows.select("doc_id", F.explode(canonical_lines(F.col("text"))).alias("line")).where("line <> ''") \
+        .select("doc_id", _sha(F.col("line")).alias("known_digest"))
     found = lines.join(table, "known_digest").groupBy("doc_id").agg(
         F.count("*").alias("n_notices"), F.array_sort(F.collect_set("license")).alias("notices"))
     keyed = whole.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
@@ -85,8 +99,8 @@ def op5_licenses(spark, sf: str) -> DataFrame:
 QUERIES = {"op5_licenses": op5_licenses}
 
 
-def _sql_digest(text: str) -> str:
-    out = f"lower(regexp_replace(coalesce({text}, ''), '{COPYRIGHT_LINE}', ' ', 'g'))"
+def _sql_digest(text: str, line: bool = False) -> str:
+    out = f"lower({text})" if line else f"lower(regexp_replace(coalesce({text}, ''), '{COPYRIGHT_LINE}', ' ', 'g'))"
     for variant, standard in SPELLINGS:
         out = f"replace({out}, '{variant}', '{standard}')"
     return f"sha256(nullif(trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ''))"
@@ -97,7 +111,7 @@ ORACLES = {"op5_licenses": f"""WITH known AS (SELECT {_sql_digest('body')} AS di
   FROM (VALUES {_KNOWN}) t(name, body) GROUP BY 1),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 found AS (SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-  FROM (SELECT doc_id, {_sql_digest('line')} AS digest FROM lines) l JOIN known USING (digest) GROUP BY doc_id),
+  FROM (SELECT doc_id, {_sql_digest('line', True)} AS digest FROM lines) l JOIN known USING (digest) GROUP BY doc_id),
 whole AS (SELECT doc_id, {_sql_digest('text')} AS digest FROM documents)
 SELECT w.doc_id, w.digest, k.license, coalesce(n_notices, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices
 FROM whole w LEFT JOIN known k ON w.digest = k.digest LEFT JOIN found f ON w.doc_id = f.doc_id"""}
