@@ -74,6 +74,21 @@ def test_salts_split_a_term_of_every_document(spark):
     assert sizes[0] == 20_000 and sizes[1] <= 2 * 40_000 / vocab.hot_share()
 
 
+def test_only_entries_of_rare_terms_are_shuffled(spark, monkeypatch):
+    """Beyond the limit the most frequent terms, as many as it holds, stay where they are; ties are all in or all out."""
+    monkeypatch.setattr(vectorize, "HOT_SHARE", 4)
+    rows = spark.range(1_000).select(F.col("id").alias("doc_id"), F.explode(F.array(
+        F.lit("all"), F.concat(F.lit("s"), F.col("id") % 10), F.concat(F.lit("r"), F.col("id") % 500))).alias("term"))
+    vocab = vectorize.fit_vocabulary(rows, 1_000, 1)
+    assert {r["term"] for r in vocab.frequent(11).collect()} == {"all", *(f"s{i}" for i in range(10))}
+    assert [r["term"] for r in vocab.frequent(10).collect()] == ["all"] and vocab.frequent(0).count() == 0
+    side = vocab.terms.select("term", F.col("df").alias("x"))
+    limit = max(11, vocab.hot_share())
+    for how in ("inner", "left", "left_semi"):
+        joined = vectorize.join_on_term(rows, side, vocab, how=how, limit=limit, back="doc_id")
+        assert sorted(joined.collect()) == sorted(rows.join(side, "term", how).select(*joined.columns).collect())
+
+
 def test_search_ends_at_its_budget(corpus):
     ev = population.prepare_evaluation(corpus.weights, corpus.docs, corpus.vocab, 3)
     for method, budget in (("abc", 9), ("de", 6), ("ga", 3)):
