@@ -264,3 +264,18 @@ def test_classifier_as_evaluator(corpus):
     rows = {r["fold"]: r["fitness"] for r in classify.evaluate_with_classifier("LR")(ev, everything, 1).collect()}
     bayes = {r["fold"]: r["fitness"] for r in population.evaluate_population(ev, everything, 1).collect()}
     assert len(rows) == 3 and all(abs(rows[f] - bayes[f]) < 0.2 for f in rows), (rows, bayes)
+
+
+def test_schemes_share_counts(docs, monkeypatch):
+    """Texts are tokenized once per analyzer; weights equal those of a corpus of its own."""
+    from termsieve.plans import corpus as K
+    seen = []
+    monkeypatch.setattr(K, "term_rows", lambda d, tokens, made=K.term_rows: seen.append(1) or made(d, tokens))
+    halves = docs.withColumn("split", F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train"))
+    schemes = {f"{a}-{w}": (a, w) for a in ("linguistic", "char3") for w in ("tfidf", "tf", "binary")}
+    built = list(K.build_corpora(halves, schemes, 2, "train"))
+    assert [name for name, _ in built] == list(schemes) and len(seen) == 2
+    for name, corpus in built:
+        own = build_corpus(halves, *schemes[name], 2, "train")
+        rows = [{(r["doc_id"], r["term"]): round(r["w"], 9) for r in c.weights.collect()} for c in (corpus, own)]
+        assert rows[0] == rows[1] and rows[0] and corpus.vocab.n_terms == own.vocab.n_terms
