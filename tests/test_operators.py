@@ -279,3 +279,17 @@ def test_schemes_share_counts(docs, monkeypatch):
         own = build_corpus(halves, *schemes[name], 2, "train")
         rows = [{(r["doc_id"], r["term"]): round(r["w"], 9) for r in c.weights.collect()} for c in (corpus, own)]
         assert rows[0] == rows[1] and rows[0] and corpus.vocab.n_terms == own.vocab.n_terms
+
+
+def test_k_sweep_judges_in_shards(corpus):
+    """Hits of every k equal those of a model fitted on the k best terms alone, however documents are dealt; no row per document and k."""
+    from termsieve.operators import bayes
+    from termsieve.plans import experiments as X
+    n_folds = corpus.docs.select("fold").distinct().count()
+    got = {n: {(r["fold"], r["k"]): (r["hits"], r["n"]) for r in X.k_sweep_hits(corpus, n_folds, 7, shard_docs=n).collect()} for n in (3, 4_096)}
+    assert got[3] == got[4_096] and len(got[3]) == n_folds * ((corpus.vocab.n_terms - 1) // 7)
+    ranks = filters.rank_terms(filters.chi2_scores(corpus.weights, corpus.docs, n_folds))
+    for k in (7, 14, (corpus.vocab.n_terms - 1) // 7 * 7):
+        preds = bayes.classify_multinomial_nb(corpus.weights, corpus.docs, corpus.weights, corpus.docs, corpus.vocab, n_folds, ranks.where(F.col("rank") <= k), k)
+        for r in preds.groupBy("fold").agg(F.sum((F.col("y") == F.col("p")).cast("int")).alias("h"), F.count("*").alias("n")).collect():
+            assert got[3][r["fold"], k] == (r["h"], r["n"])
