@@ -1,8 +1,31 @@
 """Steps in smaller forms give the same rows."""
 
-from pyspark.sql import functions as F
+import random
 
+from termsieve.operators import tree
 from termsieve.operators.vectorize import char_tokens, pack_terms, term_rows, unpack_terms
+from termsieve.plans.corpus import build_corpus
+
+
+def grown(corpus, **options):
+    trees = tree.grow(corpus.weights, corpus.docs, 2, **options)
+    return sorted(map(repr, trees.nodes.collect())), sorted(map(repr, trees.places.collect())), trees.depth
+
+
+def test_small_nodes_finished_in_tasks_give_the_same_trees(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("ab cd ef gh ij kl \u00e9\u00e9 mn".split(), k=7)), rng.choice("xyz"), i % 2) for i in range(60)]
+    rows += [(70, None, "x", 0), (71, "", "y", 1), (72, "none", "z", 0), (None, "ab cd", "z", 1), (73, "ab ab cd", "x", None)]
+    rows += rows[:2] + [(5, "ab cd ef", "y", 1)]   # repeated rows, and one id with two texts
+    c = build_corpus(spark.createDataFrame(rows, "doc_id long, text string, label string, fold int"), min_df=2)
+    assert grown(c) == grown(c, task_entries=-1) == grown(c, task_entries=90)
+    assert grown(c, max_depth=1) == grown(c, max_depth=1, task_entries=-1)
+
+
+def test_rounding_as_sql_does(spark):
+    values = [0.0078125, 0.0015625, 5.0078125, 1234.0000005, 2.5e-6, 1 / 3, 7.0000015, 100.1234565]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").selectExpr("round(v, 6)").collect()]
+    assert tree._rounded(tree.np.array(values)).tolist() == want
 
 
 def test_packed_terms_come_back(spark):
