@@ -142,3 +142,24 @@ def test_candidates_are_solved_together(corpus):
     from termsieve.operators.metrics import f1_weighted
     want = {r.fold: 1 - r.f1_weighted for r in f1_weighted(linear.classify_linear("LR", weights, docs, corpus.vocab, 2, kept), ("fold",)).collect()}
     assert all(abs(got[f, 0] - want[f]) < 1e-9 for f in (0, 1))
+
+
+def test_weights_sent_whole_give_the_same(corpus, design, monkeypatch):
+    """State kept by the driver, state stored as rows, and weights joined to tiles: one solution and one prediction."""
+    found = []
+    for here, whole in ((1 << 20, 1 << 20), (-1, 1 << 20), (-1, -1)):
+        monkeypatch.setattr(linear, "DRIVER_BYTES", here)
+        monkeypatch.setattr(linear, "BROADCAST_BYTES", whole)
+        fitted = linear.fit_linear(design, list(range(FOLDS)), "hinge", max_rounds=7)
+        found.append((fitted.value, sorted(map(tuple, linear.predict_linear(design, fitted).collect()), key=repr)))
+    for value, preds in found[1:]:
+        assert np.allclose(value, found[0][0]) and preds == found[0][1]
+
+
+def test_a_task_sums_the_gradients_of_its_blocks(corpus, design):
+    loss = linear.Loss("softmax", [0], np.ones((1, 3), bool))
+    sizes = {r["r"]: r["n"] for r in linear._start(design, loss, None).select("r", "n").collect()}
+    x = linear._sent(design, {r: np.zeros((n, 3)).tobytes() for r, n in sizes.items()})
+    blocks = design.blocks.coalesce(2)
+    parts = blocks.mapInArrow(linear._task_gradients(loss, x), "r int, cols binary, g binary, loss array<double>")
+    assert design.n_blocks > 2 and parts.count() <= 2 * len(sizes) < design.tiles.count()
