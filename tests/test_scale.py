@@ -2,9 +2,9 @@
 
 import random
 
-from termsieve.operators import tree
+from termsieve.operators import tree, vectorize
 from termsieve.operators.vectorize import char_tokens, pack_terms, term_rows, unpack_terms
-from termsieve.plans.corpus import build_corpus
+from termsieve.plans.corpus import build_corpus, count_corpus
 
 
 def grown(corpus, **options):
@@ -35,3 +35,17 @@ def test_packed_terms_come_back(spark):
     assert unpack_terms(packed).sort("doc_id").collect() == rows.sort("doc_id").collect()
     # Only a row whose terms hold the separator, or that has no terms, travels as an array.
     assert [r.doc_id for r in packed.where("terms IS NOT NULL").sort("doc_id").collect()] == [1, 2, 3, 4]
+
+
+def test_entries_of_a_large_vocabulary_go_to_their_document_once(spark, monkeypatch, capsys):
+    rows = [(i, "ab cd ef " + "gh ij " * (i % 3) + "kl" * (i % 2), "xy"[i % 2]) for i in range(20)] + [(30, None, "x"), (3, "ab zz zz", "x")]
+    counted = count_corpus(spark.createDataFrame(rows, "doc_id long, text string, label string"), min_df=2)
+    want = vectorize.transform_with_vocabulary(counted.counts, counted.vocab)
+    monkeypatch.setattr(vectorize, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(vectorize, "HOT_SHARE", 1)
+    monkeypatch.setattr(vectorize.join_on_term, "__defaults__", ("term", 1, "inner", 2, None))
+    got = vectorize.transform_with_vocabulary(counted.counts, counted.vocab)
+    assert [(*r[:-1], round(r.w, 9)) for r in got.sort("doc_id", "label", "term").collect()] == \
+        [(*r[:-1], round(r.w, 9)) for r in want.select(got.columns).sort("doc_id", "label", "term").collect()]
+    got.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").explain()
+    assert capsys.readouterr().out.count("hashpartitioning(doc_id") == 1
