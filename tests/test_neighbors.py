@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from termsieve.operators import neighbors
 from termsieve.operators.neighbors import digamma, mutual_info_neighbors
 from termsieve.runtime import running_sum
 
@@ -71,6 +72,26 @@ def test_equals_all_pairs(spark, case, options):
     assert got["always one"] < 1e-9 and got["one class"] > 0.3
 
 
+@pytest.mark.parametrize("options", [{"task_entries": 0}, {"task_entries": 0, "run_length": 4, "window_rows": 5}])
+def test_terms_too_large_for_a_task_get_the_same_scores(spark, case, options):
+    w, d = frames(spark, *case)
+    got = {r.term: r.score for r in mutual_info_neighbors(w, d, **options).collect()}
+    want = brute(*case)
+    assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t], abs=1e-9) for t in want)
+
+
+def test_entries_are_shuffled_once_and_not_stored(spark, case, monkeypatch, capsys):
+    monkeypatch.setattr(neighbors, "materialize", None)
+    monkeypatch.setattr(neighbors, "BLOCK_CELLS", 30)
+    w, d = frames(spark, *case)
+    w, d = w.localCheckpoint(), d.localCheckpoint()
+    found = mutual_info_neighbors(w, d)
+    found.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning(term") == 1
+    want = brute(*case)
+    assert {r.term: round(r.score, 9) for r in found.collect()} == {t: round(x, 9) for t, x in want.items()}
+
+
 def test_no_entries(spark, case):
     w, d = frames(spark, *case)
     assert mutual_info_neighbors(w.limit(0), d).count() == 0
