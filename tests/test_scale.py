@@ -5,6 +5,7 @@ import random
 from termsieve.operators import tree, vectorize
 from termsieve.operators.vectorize import char_tokens, pack_terms, term_rows, unpack_terms
 from termsieve.plans.corpus import build_corpus, count_corpus
+from termsieve.runtime import WRITERS, materialize
 
 
 def grown(corpus, **options):
@@ -49,3 +50,31 @@ def test_entries_of_a_large_vocabulary_go_to_their_document_once(spark, monkeypa
         [(*r[:-1], round(r.w, 9)) for r in want.select(got.columns).sort("doc_id", "label", "term").collect()]
     got.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").explain()
     assert capsys.readouterr().out.count("hashpartitioning(doc_id") == 1
+
+
+def test_entries_in_buckets_stay_there(spark, monkeypatch, capsys):
+    rows = [(i, " ".join(f"t{j:02d}" for j in range(40) if i % (j + 1) == 0), "xy"[i % 2]) for i in range(200)]
+    counted = count_corpus(spark.createDataFrame(rows, "doc_id long, text string, label string"), min_df=2)
+    want = vectorize.transform_with_vocabulary(counted.counts, counted.vocab)
+    monkeypatch.setattr(vectorize.Vocabulary, "hot_share", lambda self: 1)
+    monkeypatch.setattr(vectorize.join_on_term, "__defaults__", ("term", 1, "inner", 5, None))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = vectorize.transform_with_vocabulary(counted.counts, counted.vocab)
+    assert sorted((*r[:-1], round(r.w, 9)) for r in got.select(want.columns).collect()) == sorted((*r[:-1], round(r.w, 9)) for r in want.collect())
+    got.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").explain()
+    plan = capsys.readouterr().out
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # Only the rare entries move back, below the union with the others.
+    assert plan.index("Union") < plan.index("Exchange hashpartitioning(doc_id")
+    assert plan.count("hashpartitioning(doc_id") == 1
+
+
+def test_buckets_are_written_without_a_sort(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(type(spark.conf), "set", lambda self, k, v, f=type(spark.conf).set: (seen.append((k, v)), f(self, k, v))[1])
+    before = spark.conf.get(WRITERS)
+    table = materialize(spark.range(100).withColumnRenamed("id", "doc_id"), key="doc_id")
+    assert seen == [(WRITERS, "2"), (WRITERS, before)] and spark.conf.get(WRITERS) == before
+    assert sorted(r.doc_id for r in table.collect()) == list(range(100))
+    assert len(table.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
