@@ -36,3 +36,17 @@ def test_scheme_grid_has_every_classifier(spark, folder, monkeypatch):
 def test_multinomial_rows_of_the_scheme_grid_match_sql(spark, duck):
     got = experiments.scheme_grid(catalog.split_docs(spark, SF), ("MNB",)).withColumn("accuracy", F.round("accuracy", 6)).toPandas()
     assert differences(got, duck.execute(SCHEMES_MNB).df()) == ""
+
+
+def test_population_sizes_run_to_their_budget(spark, folder, monkeypatch):
+    asked = []
+
+    def select(weights, docs, vocab, method, size, budget, n_runs, n_folds, *rest):
+        # The searches themselves are tested elsewhere.
+        asked.append((method, size, budget, n_runs, n_folds))
+        return vocab.indexed().select(F.col("idx").alias("dim"), "term", F.lit(1).alias("score"))
+
+    monkeypatch.setattr(wrapper, "select_features", select)
+    got = entry.queries()["population_size_sweep"](spark, folder).collect()
+    sizes = [10, 30, 50, 100, 150, 200, 300, 500, 750, 1000]
+    assert asked == [("cuckoo", s, 1000, 4, 2) for s in sizes] and sorted(r["size"] for r in got) == sizes
