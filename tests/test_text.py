@@ -1,6 +1,8 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from termsieve.functions import clean as C
+from termsieve.functions import clean, clean as C
+from termsieve.plans import catalog
 
 
 def one(spark, fn, *texts):
@@ -45,3 +47,25 @@ def test_stems(spark):
              "generalization": "gener", "geology": "geolog", "controll": "control", "skies": "sky", "news": "news",
              "replacement": "replac", "adoption": "adopt", "probate": "probat", "rate": "rate", "is": "is"}
     assert one(spark, C.porter_stem, *pairs) == list(pairs.values())
+
+
+def test_stems_of_whole_texts_are_those_of_words(spark, monkeypatch):
+    """Texts are stemmed word by word in Python by the same rules; a word that occurs again is not stemmed again."""
+    ends = "s sses ies ied eed ed ing at y ational tional enci izer alli entli ization ation fulli logi icate ness ance ement ment ion ll e bbing".split()
+    words = [f"{a}{e}" for a in ("", "t", "gr", "Y", "yel", "relat", "élan", "conform", "adj") for e in ends]
+    texts = spark.createDataFrame([(words,), (words[:3] + [None],), ([],), (None,)], "w array<string>").coalesce(1)
+    got = [r[0] for r in texts.select(C.stem_tokens(F.col("w"))).collect()]
+    want = one(spark, C.porter_stem, *words)
+    assert got == [want, want[:3] + [None], [], None]
+    clean.stem_word.cache_clear()
+    clean._stemmed(pa.array([["falling", "falling"], ["falling"]]))
+    assert clean.stem_word.cache_info().misses == 1
+
+
+def test_words_are_counted_before_they_are_stemmed(spark, tmp_path, monkeypatch):
+    rows = [(i, "falling falls cannot, tea", "en") for i in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, real = [], catalog.vectorize.conflate_tokens
+    monkeypatch.setattr(catalog.vectorize, "conflate_tokens", lambda terms, *a: seen.append(terms.count()) or real(terms, *a))
+    got = catalog.QUERIES["conflate_tokens"](spark, str(tmp_path)).collect()
+    assert seen == [5] and {(r["term"], r["n"]) for r in got} == {("fall", 18), ("can", 9), ("not", 9), ("tea", 9)}
