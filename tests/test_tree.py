@@ -74,6 +74,20 @@ def test_trees_equal_plain_cart(corpus):
             assert preds[f, ids[i]] == "xyz"[int(np.argmax(want[path][0]))]
 
 
+@pytest.mark.parametrize("task_entries,max_depth", [(100, 3), (0, 2)])
+def test_large_nodes_by_columns(corpus, monkeypatch, task_entries, max_depth):
+    """Trees grown from entries by term, without a shuffle per level, are those of the joins."""
+    def rows(grown):
+        return [sorted(map(str, df.collect())) for df in (grown.nodes, grown.places.select("set", "doc_id", "y", "test", "node"))] + [grown.depth]
+
+    calls, real = [], tree._best_splits
+    monkeypatch.setattr(tree, "_best_splits", lambda *a: calls.append(a) or real(*a))
+    got = rows(tree.grow(corpus.weights, corpus.docs, FOLDS, max_depth=max_depth, task_entries=task_entries))
+    assert not calls
+    monkeypatch.setattr(tree, "COLUMN_DOCS", 1)
+    assert got == rows(tree.grow(corpus.weights, corpus.docs, FOLDS, max_depth=max_depth, task_entries=task_entries)) and calls
+
+
 def test_depth_can_be_limited(corpus):
     grown = tree.grow(corpus.weights, corpus.docs, FOLDS, max_depth=1)
     assert grown.depth == 1 and grown.nodes.agg(F.max(F.length("node"))).first()[0] == 1
