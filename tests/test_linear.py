@@ -1,5 +1,6 @@
 """The multi-model linear solver against plain numpy optima on a small corpus."""
 
+import glob
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termsieve.operators import linear, population, split
 from termsieve.plans.corpus import build_corpus
+from termsieve.runtime import scratch_root
 
 WORDS = {"x": "red apple pie sweet", "y": "blue metal car fast", "z": "green leaf tree tall"}
 FOLDS = 3
@@ -163,3 +165,26 @@ def test_a_task_sums_the_gradients_of_its_blocks(corpus, design):
     blocks = design.blocks.coalesce(2)
     parts = blocks.mapInArrow(linear._task_gradients(loss, x), "r int, cols binary, g binary, loss array<double>")
     assert design.n_blocks > 2 and parts.count() <= 2 * len(sizes) < design.tiles.count()
+
+
+def test_passes_leave_nothing_behind(corpus, design, monkeypatch):
+    """A state kept by the driver stores no rows, nor is anything shuffled; stored ones take the place of the last."""
+    def files():
+        return len(glob.glob(f"{scratch_root(corpus.docs.sparkSession).removeprefix('file:')}/termsieve_*/*.parquet"))
+
+    design.by_range()
+    stored, steps = [], []
+    monkeypatch.setattr(linear, "_range_gradients", lambda *a: steps.append(a))
+    for rounds in (2, 6):
+        before = files()
+        linear.fit_linear(design, list(range(FOLDS)), "softmax", tolerance=0.0, max_rounds=rounds)
+        stored.append(files() - before)
+    assert stored[0] == stored[1] and not steps
+    monkeypatch.undo()
+    monkeypatch.setattr(linear, "DRIVER_BYTES", -1)
+    stored = []
+    for rounds in (2, 5):
+        before = files()
+        linear.fit_linear(design, list(range(FOLDS)), "softmax", tolerance=0.0, max_rounds=rounds)
+        stored.append(files() - before)
+    assert stored[0] == stored[1]
